@@ -78,15 +78,15 @@ def map_series(
 ) -> DataFrame:
     """Run `kernel` over whole, ordered series; blocks of about `target_rows` rows reach it.
 
-    One shuffle by `keys`, a sort within the partitions, then Arrow batches. Rows with a null
-    key or order value belong to no series and must be filtered by the caller, who also says so.
+    One shuffle by `keys`, a sort within the partitions, then Arrow batches. A row with a null
+    key is a series of its own. Rows with a null order value come first in their series (NaN).
     """
     arrow = to_arrow_schema(schema)
     keys = list(keys)
 
     def emit(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         out = kernel(Block(pa.concat_tables(tables).combine_chunks(), keys))
-        arrays = [pa.array(out[f.name], type=f.type, from_pandas=pa.types.is_floating(f.type)) for f in arrow]
+        arrays = [_column(out[f.name], f.type) for f in arrow]
         yield from pa.Table.from_arrays(arrays, schema=arrow).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +113,12 @@ def map_series(
     return ordered.mapInArrow(run, schema)
 
 
+def _column(v: np.ndarray | pa.ChunkedArray, kind: pa.DataType) -> pa.Array | pa.ChunkedArray:
+    if isinstance(v, pa.ChunkedArray):
+        return v.cast(kind)
+    return pa.array(v, type=kind, from_pandas=pa.types.is_floating(kind))
+
+
 def _last_start(t: pa.Table, keys: Sequence[str]) -> int | None:
     new = np.zeros(t.num_rows, bool)
     for k in keys:

@@ -1 +1 @@
-
+"""Named queries over the project's tables, and their SQL counterparts."""
