@@ -71,7 +71,7 @@ class Block:
 def map_series(
     df: DataFrame,
     kernel: Callable[[Block], dict[str, np.ndarray]],
-    schema: StructType,
+    schema: StructType | str,
     keys: Sequence[str] = SERIES,
     order: str = "fecha",
     target_rows: int = 50_000,
@@ -81,6 +81,7 @@ def map_series(
     One shuffle by `keys`, a sort within the partitions, then Arrow batches. A row with a null
     key is a series of its own. Rows with a null order value come first in their series (NaN).
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
     keys = list(keys)
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.operators.impute import Field, fill
 from lonja.operators.rolling import rolling
-from lonja.operators.series import SERIES, has_value, holding_rows
+from lonja.operators.series import SERIES, Block, has_value, holding_rows, map_series
+from lonja.operators.spikes import implausible
+from lonja.operators.units import ScaleModel, converted, reference_levels, with_unit
 from lonja.operators.usable import MASS, PRICE
 from lonja.session import table
 
 KEY = (*SERIES, "fecha")
-DAY = F.date_format("fecha", "yyyy-MM-dd").alias("fecha")
+
+
+def day() -> Column:
+    """The date as text, as results give it."""
+    return F.date_format("fecha", "yyyy-MM-dd").alias("fecha")
 
 
 def holding(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -37,7 +44,46 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = holding(spark, sf_dir, *TARGETS, "precio_hoy_kg")
     filled = fill(rows, [*MASSES, *PRICES], TARGETS)
     campos = F.array_compact(F.array(*[F.when(F.col(f"{c}_relleno"), F.lit(c)) for c in TARGETS]))
-    return filled.select(*SERIES, DAY, F.explode(campos).alias("campo"))
+    return filled.select(*SERIES, day(), F.explode(campos).alias("campo"))
+
+
+# -- p2: units, p4: implausible prices ----------------------------------------------------------
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holding rows with the published unit in kilograms and the product's reference level."""
+    rows = with_unit(table(spark, sf_dir, "precios_diarios"), table(spark, sf_dir, "unidades"), table(spark, sf_dir, "productos"))
+    held = holding_rows(rows, KEY, "cargado_en", ["precio_hoy_unit", "precio_hoy_kg", "_kg", "_hundredths"])
+    levels = reference_levels(rows)
+    held = held.join(levels, held["producto_id"].eqNullSafe(levels["_anchor_of"]), "left").drop("_anchor_of")
+    return held.withColumn("_hundredths", F.coalesce("_hundredths", F.lit(False)))
+
+
+def _price_kernel(b: Block) -> dict:
+    price, state = converted(b)
+    stored, published = b["precio_hoy_kg"], b["precio_hoy_unit"]
+    with np.errstate(invalid="ignore"):
+        off = ~np.isnan(published) & (np.isnan(stored) | (np.abs(stored - price) > 0.02 * np.abs(price)))
+    price = np.where(np.isnan(price), stored / np.exp(ScaleModel().offsets)[state], price)
+    out = {"equiv_kg": b["_kg"], "precio_kg": price, "escala": state, "corregido": off, "marca": implausible(price, b.series)}
+    return out | {k: b.columns.column(k) for k in KEY}
+
+
+_PRICES = "producto_id int, mercado_id int, fecha date, equiv_kg double, precio_kg double, escala int, corregido boolean, marca int"
+
+
+def p2_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holding rows with `equiv_kg` in kilograms, the price in soles per kilogram, the decoded money scale
+    (0: what the text says, 1: hundredths), whether the stored price had to be corrected, and the p4 mark."""
+    return map_series(_priced(spark, sf_dir), _price_kernel, _PRICES)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_converted(spark, sf_dir).where("corregido").select(*SERIES, day())
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_converted(spark, sf_dir).where("marca > 0").select(*SERIES, day())
 
 
 # -- p3: trailing periods ---------------------------------------------------------------------
@@ -53,7 +99,7 @@ def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and means of the last 7 and 30 days for each series and calendar day."""
     r = _p3(spark, sf_dir, (7, 30))
     names = [f"masa_hoy_{x}_{w}" for w in (7, 30) for x in ("total", "media")] + [f"precio_hoy_kg_media_{w}" for w in (7, 30)]
-    return r.select(*SERIES, DAY, F.col("con_fila"), *names)
+    return r.select(*SERIES, day(), F.col("con_fila"), *names)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +116,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((F.col("precio_hoy_kg_n_7") > 0) & contradicts("precio_7d_kg", "precio_hoy_kg_media_7"), F.lit("precio_7d_kg")),
         )
     )
-    return r.select(*SERIES, DAY, F.explode(campos).alias("campo"))
+    return r.select(*SERIES, day(), F.explode(campos).alias("campo"))
 
 
-QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
+QUERIES = {"p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
 
 #: Holding rows, in SQL.
 H = """h AS (SELECT * FROM precios_diarios WHERE producto_id IS NOT NULL AND mercado_id IS NOT NULL AND fecha IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY producto_id, mercado_id, fecha ORDER BY cargado_en DESC NULLS LAST) = 1)"""
 
 _GRID = """lim AS (SELECT producto_id, mercado_id, min(fecha) AS f0, max(fecha) AS f1 FROM h GROUP BY ALL),
- g AS (SELECT producto_id, mercado_id, f0, CAST(unnest(generate_series(CAST(f0 AS TIMESTAMP), CAST(f1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS fecha FROM lim),
+ g AS (SELECT producto_id, mercado_id, f0, CAST(unnest(generate_series(CAST(f0 AS TIMESTAMP), CAST(f1 AS TIMESTAMP), INTERVAL 1 day())) AS DATE) AS fecha FROM lim),
  v AS (SELECT g.producto_id, g.mercado_id, g.fecha, g.f0, h.fecha IS NOT NULL AS con,
   CASE WHEN isnan(h.masa_hoy) THEN NULL ELSE h.masa_hoy END AS m, CASE WHEN isnan(h.precio_hoy_kg) THEN NULL ELSE h.precio_hoy_kg END AS p, h.masa_7d, h.precio_7d_kg,
   CASE WHEN h.fecha IS NOT NULL AND NOT coalesce(NOT isnan(h.masa_hoy) AND h.masa_hoy >= 0 AND h.masa_hoy < 5000, FALSE) THEN 1 ELSE 0 END AS mala
