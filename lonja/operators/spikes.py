@@ -56,7 +56,7 @@ def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def departures(y: np.ndarray, series: np.ndarray, longest: int, apart: float = np.inf) -> np.ndarray:
     """How far each reading lies beyond both neighbours, as a member of the best window of at most
     `longest` readings: the least distance of the window's members from the reading before it and
-    the reading after it, all on one side; 0 if there is no such window. Only windows whose two neighbours differ by less
+    the reading after it, all on one side; 0 if there is no such window. Negative below them. Only windows whose two neighbours differ by less
     than `apart` times that distance."""
     best = np.zeros(len(y))
     for size in range(1, longest + 1):
@@ -68,13 +68,25 @@ def departures(y: np.ndarray, series: np.ndarray, longest: int, apart: float = n
         before, after = y[i - 1], y[i + size]
         above = window.min(1) - np.maximum(before, after)
         below = np.minimum(before, after) - window.max(1)
-        far = np.maximum(above, below)
+        far = np.maximum(np.maximum(above, below), 0)
         far[np.abs(after - before) >= apart * far] = 0
+        signed = np.where(above > below, far, -far)
         for k in range(size):
-            np.maximum.at(best, i + k, far)
+            best[i + k] = np.where(far > np.abs(best[i + k]), signed, best[i + k])
     return best
 
 
+def strongest(away: np.ndarray, series: np.ndarray) -> np.ndarray:
+    """Of departures side by side on different sides, only those on the side of the largest."""
+    is_one = away != 0
+    joined = np.r_[False, is_one[1:] & is_one[:-1] & (series[1:] == series[:-1])]
+    start, length = runs(joined)
+    if not len(start):
+        return away
+    side = np.where(np.maximum.reduceat(away, start) >= -np.minimum.reduceat(away, start), 1, -1)
+    return np.where(np.sign(away) == np.repeat(side, length), away, 0)
+
+
 def implausible(value: np.ndarray, series: np.ndarray, rules: Rules = Rules()) -> np.ndarray:
     """The mark of each reading. NaN is no reading: it is skipped in counting and never marked.
 
@@ -114,8 +126,9 @@ def implausible(value: np.ndarray, series: np.ndarray, rules: Rules = Rules()) -
         # Plain spikes first: they return to the level they left. Then those at a change of level,
         # among the readings that are left, so that no reading is judged by a spike beside it.
         away = departures(y, c, rules.longest, 0.5)
-        rest = np.flatnonzero(away <= bar)
-        away[rest] = departures(y[rest], c[rest], rules.longest)
+        away = np.abs(strongest(np.where(np.abs(away) > bar, away, 0), c))
+        rest = np.flatnonzero(away == 0)
+        away[rest] = np.abs(departures(y[rest], c[rest], rules.longest))
         centre = rolling_median(y, c, rules.half, skip=away > bar)
         off = np.abs(y - centre)
         near = rolling_median(off, c, rules.half, skip=away > bar) * 1.4826
