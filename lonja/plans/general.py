@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.operators.grid import regular
 from lonja.operators.impute import Field, fill
 from lonja.operators.rolling import rolling
 from lonja.operators.series import SERIES, Block, has_value, holding_rows, map_series
@@ -119,7 +120,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*SERIES, day(), F.explode(campos).alias("campo"))
 
 
-QUERIES = {"p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
+# -- p6: regular grid -------------------------------------------------------------------------
+
+
+def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of each series on each day of its market, with the days lacking one filled and marked."""
+    return regular(holding(spark, sf_dir, "precio_hoy_kg"), "precio_hoy_kg")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_grid(spark, sf_dir).where("sin_lectura").select(*SERIES, day())
+
+
+QUERIES = {"p6_grid": p6_grid, "p6_found": p6_found, "p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
 
 #: Holding rows, in SQL.
 H = """h AS (SELECT * FROM precios_diarios WHERE producto_id IS NOT NULL AND mercado_id IS NOT NULL AND fecha IS NOT NULL
@@ -136,6 +149,9 @@ _SUMS = ", ".join(f"coalesce(sum(round_even(m * 1e6, 0)) OVER w{w}, 0) / 1e6 AS
 _GRID = _GRID.replace("{sums}", _SUMS)
 
 SQL = {
+    "p6_found": f"""WITH {H}, lim AS (SELECT producto_id, mercado_id, min(fecha) AS f0, max(fecha) AS f1 FROM h GROUP BY ALL), d AS (SELECT DISTINCT mercado_id, fecha FROM h)
+ SELECT lim.producto_id, lim.mercado_id, strftime(d.fecha, '%Y-%m-%d') AS fecha FROM lim JOIN d ON d.mercado_id = lim.mercado_id AND d.fecha BETWEEN f0 AND f1
+ LEFT JOIN h ON h.producto_id = lim.producto_id AND h.mercado_id = lim.mercado_id AND h.fecha = d.fecha WHERE h.precio_hoy_kg IS NULL OR isnan(h.precio_hoy_kg)""",
     "p1_found": f"""WITH {H}, c AS (SELECT producto_id, mercado_id, strftime(fecha, '%Y-%m-%d') AS fecha, unnest([
   {{'c': 'masa_hoy', 'ok': NOT isnan(masa_hoy) AND masa_hoy >= 0 AND masa_hoy < 5000}}, {{'c': 'masa_ayer', 'ok': NOT isnan(masa_ayer) AND masa_ayer >= 0 AND masa_ayer < 5000}},
   {{'c': 'precio_ayer_kg', 'ok': NOT isnan(precio_ayer_kg) AND precio_ayer_kg > 0 AND precio_ayer_kg < 500000}}]) AS u FROM h)
