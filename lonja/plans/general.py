@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.operators.drift import drift, unify
 from lonja.operators.grid import regular
 from lonja.operators.impute import Field, fill
 from lonja.operators.rolling import rolling
@@ -132,7 +133,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_grid(spark, sf_dir).where("sin_lectura").select(*SERIES, day())
 
 
-QUERIES = {"p6_grid": p6_grid, "p6_found": p6_found, "p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
+# -- p7: drifting schemas ----------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a report's fields against the report of its source before it."""
+    return drift(table(spark, sf_dir, "reportes")).select("reporte_id", "campo", "cambio")
+
+
+def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports' rows as one table of consistent fields."""
+    reports = table(spark, sf_dir, "reportes")
+    return unify(reports, drift(reports))
+
+
+QUERIES = {"p7_found": p7_found, "p7_unified": p7_unified, "p6_grid": p6_grid, "p6_found": p6_found, "p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
 
 #: Holding rows, in SQL.
 H = """h AS (SELECT * FROM precios_diarios WHERE producto_id IS NOT NULL AND mercado_id IS NOT NULL AND fecha IS NOT NULL
