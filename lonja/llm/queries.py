@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.llm.canonical import map_names
+from lonja.llm.packing import containers
+from lonja.llm.tokens import decoded, token_counts, token_ids
 from lonja.session import table
 
 #: Regional names of kinds of produce.
@@ -57,5 +59,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_mapped(spark, sf_dir).where("producto_id IS NOT NULL").select("fila_id", "producto_id")
 
 
-QUERIES = {"p5_mapped": p5_mapped, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+# -- p8: token ids ------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return decoded(p8_ids(spark, sf_dir))
+
+
+# -- p9: containers -----------------------------------------------------------------------------
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text, or part of a text over 2,048 tokens, in its container of 2,048 tokens."""
+    return containers(token_counts(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p5_mapped": p5_mapped, "p5_found": p5_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers}
+SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
