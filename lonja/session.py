@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHARED: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +40,23 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, wherever they were started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).parent
+    # The driver serves the archive from its own disk, as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="lonja-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of `df`: write it to the shared folder and read it back.
 
@@ -49,4 +70,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
