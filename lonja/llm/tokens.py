@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.operators.skew import join_counted
 from lonja.session import written
 
 #: Where the vocabularies lie; a parameter of every function here.
@@ -17,8 +18,6 @@ FOLDER = os.environ.get("LONJA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text into the words that byte pair merges stay within,
 #: with Unicode white space (U) as the tokenizer has it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word with at least this share of all occurrences is frequent: there are at most 1 / SHARE such words.
-SHARE = 1 / 4096
 #: Longest word, in characters, that joins by broadcast; longer ones join by key at any frequency.
 LONGEST = 64
 
@@ -58,19 +57,10 @@ def encoded_words(docs: DataFrame, text: str, name: str, folder: str) -> DataFra
 def with_words(docs: DataFrame, key: str, text: str, name: str, folder: str) -> DataFrame:
     """key, _h, pos, ids of each word occurrence.
 
-    Frequent words meet the occurrences by broadcast: at most 1 / SHARE of them, none longer than
-    LONGEST. So no word with a large share of the corpus is shuffled by its value; all others join by key.
+    Frequent words of up to LONGEST characters meet their occurrences by broadcast, see `join_counted`.
     """
     table = encoded_words(docs, text, name, folder)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = (F.col("n") >= max(1.0, total * SHARE)) & (F.length("word") <= LONGEST)
-    head = F.broadcast(table.where(frequent).select("word", "ids"))
-    tail = table.where(~frequent).select("word", "ids")
-    every = occurrences(docs, key, text)
-    common = every.join(head, "word")
-    rare = every.join(F.broadcast(table.where(frequent).select("word")), "word", "left_anti").join(tail, "word")
-    columns = [key, "_h", "pos", "ids"]
-    return common.select(*columns).unionByName(rare.select(*columns))
+    return join_counted(occurrences(docs, key, text), table, ["word"], fits=F.length("word") <= LONGEST).select(key, "_h", "pos", "ids")
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
