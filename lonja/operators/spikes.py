@@ -69,7 +69,8 @@ def departures(y: np.ndarray, series: np.ndarray, longest: int, apart: float = n
         above = window.min(1) - np.maximum(before, after)
         below = np.minimum(before, after) - window.max(1)
         far = np.maximum(np.maximum(above, below), 0)
-        far[np.abs(after - before) >= apart * far] = 0
+        if np.isfinite(apart):
+            far[np.abs(after - before) >= apart * far] = 0
         signed = np.where(above > below, far, -far)
         for k in range(size):
             best[i + k] = np.where(far > np.abs(best[i + k]), signed, best[i + k])
