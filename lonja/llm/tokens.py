@@ -6,10 +6,13 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from lonja.operators.series import Block, map_series
 from lonja.operators.skew import join_counted
 from lonja.session import written
 
@@ -34,8 +37,8 @@ def words(text: str | Column) -> Column:
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _h (hash of the text), pos, word: one row for each word of each text."""
-    return docs.select(F.col(key), F.xxhash64(text).alias("_h"), F.posexplode(words(text)).alias("pos", "word"))
+    """key, _h (hash of key and text), pos, word: one row for each word of each text."""
+    return docs.select(F.col(key), F.xxhash64(key, text).alias("_h"), F.posexplode(words(text)).alias("pos", "word"))
 
 
 def encoded_words(docs: DataFrame, text: str, name: str, folder: str) -> DataFrame:
@@ -68,15 +71,34 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
 
     Strings of special tokens are ordinary text. Null and empty texts have the empty list. Rows are
     told apart by key and text: identical repeated rows come out once, one key with two texts twice.
-    A null key is a key. Other columns are not read.
+    A null key is a key. Other columns are not read. The words of a text are sorted and streamed,
+    so memory holds some texts at a time.
     """
     rows = with_words(docs, key, text, name, folder)
-    packed = rows.groupBy(key, "_h").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("w"))
-    full = packed.select(key, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
+
+    def pack(b: Block) -> dict[str, pa.ChunkedArray]:
+        keep = ~repeated(b)
+        ids = b.columns.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        if not keep.all():
+            ids = ids.filter(pa.array(keep))
+        ends = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
+        words = np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), b.starts))]
+        lists = pa.ListArray.from_arrays(pa.array(ends[words].astype(np.int32)), ids.flatten())
+        return {key: b.columns.column(key).take(pa.array(b.starts)), "ids": pa.chunked_array([lists])}
+
+    out = StructType([StructField(key, docs.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
+    full = map_series(rows, pack, out, keys=["_h"], order="pos")
     empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids")).distinct()
     return full.unionByName(empty)
 
 
+def repeated(b: Block) -> np.ndarray:
+    """Rows that say again what the row before says: the words of an identical row."""
+    pos = b["pos"]
+    return np.r_[False, (pos[1:] == pos[:-1]) & (b.series[1:] == b.series[:-1])]
+
+
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """key, tokens: how many ids each text has. Summed before the shuffle, without building the ids.
 
@@ -91,16 +113,21 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
 
 
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """id, piece (the bytes in hexadecimal): the vocabulary, whose size does not depend on the corpus."""
-    return spark.createDataFrame([(i, p.hex()) for p, i in read_ranks(name, folder).items()], "id int, piece string")
+    """id, piece: the vocabulary, whose size does not depend on the corpus."""
+    return spark.createDataFrame([(i, bytearray(p)) for p, i in read_ranks(name, folder).items()], "id int, piece binary")
 
 
 def decoded(encoded: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """key, text of each list of ids, by a join of ids with pieces. Unknown ids raise no error and give no text."""
     spark = encoded.sparkSession
-    rows = encoded.select(key, F.xxhash64("ids").alias("_h"), F.posexplode("ids").alias("pos", "id"))
+    rows = encoded.select(key, F.xxhash64(key, "ids").alias("_h"), F.posexplode("ids").alias("pos", "id"))
     found = rows.join(F.broadcast(pieces(spark, name, folder)), "id")
-    packed = found.groupBy(key, "_h").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("w"))
-    text = F.decode(F.unhex(F.array_join(F.transform("w", lambda x: x["piece"]), "")), "UTF-8")
+
+    def join(b: Block) -> dict[str, pa.ChunkedArray]:
+        parts, keep = b.columns.column("piece").to_pylist(), ~repeated(b)
+        texts = [b"".join(p for p, k in zip(parts[i:j], keep[i:j]) if k).decode("utf-8", "replace") for i, j in zip(b.starts, b.ends)]
+        return {key: b.columns.column(key).take(pa.array(b.starts)), "text": pa.chunked_array([pa.array(texts, pa.string())])}
+
+    out = StructType([StructField(key, encoded.schema[key].dataType), StructField("text", StringType())])
     empty = encoded.where(F.size("ids") == 0).select(key, F.lit("").alias("text"))
-    return packed.select(key, text.alias("text")).unionByName(empty)
+    return map_series(found.drop("id"), join, out, keys=["_h"], order="pos").unionByName(empty)
