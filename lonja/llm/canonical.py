@@ -142,12 +142,13 @@ class Reference:
             self.ids.setdefault((k, v), []).append(i)
         self.kinds, self.varieties = list(kinds), list(varieties)
         self.written: list[set[str]] = [set() for _ in kinds]  # ways to write a kind, blanks dropped
-        self.words: set[str] = set()
+        self.words: set[str] = set()  # of the list itself
+        self.others: set[str] = set()  # of the aliases
         for kind, k in kinds.items():
             for name in (kind, *map(plain, self.aliases.get(kind, ()))):
                 for w in plurals(name):
                     self.written[k].add(w.replace(" ", ""))
-                self.words.update(name.split())
+                (self.words if name == kind else self.others).update(name.split())
         self.words.update(varieties)
         self.kind_trie = Trie((w, k) for k, ways in enumerate(self.written) for w in sorted(ways))
         self.variety_trie = Trie((v.replace(" ", ""), i) for i, v in enumerate(self.varieties))
@@ -213,7 +214,7 @@ class Reference:
         for query in self.queries(text):
             limit = allowed(len(query))
             if best:
-                limit = min(limit, best[0].distance - 1)
+                limit = min(limit, best[0].distance)
             for errors in range(limit + 1):
                 found = {p: d for p, d in self.near(query, errors).items() if self.fits(query, p, d)}
                 if not found:
@@ -224,7 +225,10 @@ class Reference:
                     effort = {p: self.effort(query, p) for p in pairs}
                     pairs = [p for p in pairs if effort[p] == min(effort.values())]
                 if pairs:
-                    best = [Match(i, low) for i in sorted({i for p in pairs for i in self.ids[p]})]
+                    ids = {i for p in pairs for i in self.ids[p]}
+                    if best and best[0].distance == low:  # another reading of the text, as near
+                        ids |= {m.entry for m in best}
+                    best = [Match(i, low) for i in sorted(ids)]
                     break
                 if low < errors or errors == limit or low == errors:
                     break  # nearest to something that the list lacks
@@ -258,12 +262,17 @@ class Reference:
             stem = w.rstrip(".")
             ways = [stem]
             if w.endswith(".") and "." not in stem:
-                ways = sorted(x for x in self.words if x.startswith(stem) and len(x) > len(stem)) or [stem]
-                if len(stem) > 3 and ways == [stem]:
-                    ways = sorted(x for x in self.words if len(x) > len(stem) and edits(stem, x[: len(stem)]) == 1) or [stem]
+                ways = self._completions(stem) or [stem]
             out = [a + b for a in out for b in ways]
         return out
 
+    def _completions(self, stem: str) -> list[str]:
+        """Words that begin with the stem: of the list, else of the aliases, else of the list but for a slip."""
+        for words in (self.words, self.others):
+            if ways := sorted(x for x in words if x.startswith(stem) and len(x) > len(stem)):
+                return ways
+        return sorted(x for x in self.words if len(stem) > 3 and len(x) > len(stem) and edits(stem, x[: len(stem)]) == 1)
+
     def _is_variety(self, text: str) -> bool:
         q = re.sub(r"[^a-z]", "", text.translate(DIGITS))
         a = Automaton(q, min(2, len(q) // 4))
