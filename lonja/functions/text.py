@@ -23,7 +23,7 @@ def normalised(c: str | Column) -> Column:
 
 def slug(c: str | Column) -> Column:
     """Lower-case words of a-z and 0-9 joined by hyphens."""
-    return F.trim(F.lit("-"), F.lower(F.regexp_replace(deaccent(c), "[^a-zA-Z0-9]+", "-")))
+    return F.trim(F.lower(F.regexp_replace(deaccent(c), "[^a-zA-Z0-9]+", "-")), F.lit("-"))
 
 
 def tokens(c: str | Column) -> Column:

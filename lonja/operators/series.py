@@ -28,7 +28,7 @@ def holding_rows(df: DataFrame, keys: Sequence[str], version: str, columns: Sequ
     the shuffle too, so any number of copies of one key leaves each task as one row.
     """
     named = [F.col(c) if isinstance(c, str) else c for c in columns]
-    rows = df.select(*keys, F.struct(F.col(version), *named).alias("_held"))
+    rows = df.select(*keys, F.struct(F.col(version).alias("_version"), *named).alias("_held"))
     names = [f.name for f in rows.schema["_held"].dataType.fields[1:]]
     held = rows.groupBy(*keys).agg(F.max("_held").alias("_held"))
     return held.select(*keys, *[F.col("_held")[n].alias(n) for n in names])
