@@ -75,6 +75,7 @@ def map_series(
     keys: Sequence[str] = SERIES,
     order: str = "fecha",
     target_rows: int = 50_000,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run `kernel` over whole, ordered series; blocks of about `target_rows` rows reach it.
 
@@ -110,7 +111,9 @@ def map_series(
         if held:
             yield from emit(held)
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    # By number, partitions are not put together: for kernels that compute much on few rows.
+    spread = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+    ordered = spread.sortWithinPartitions(*keys, order)
     return ordered.mapInArrow(run, schema)
 
 

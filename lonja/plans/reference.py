@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lonja.functions import vectors as vec
 from lonja.functions.calendar import MONTHS, WEEKDAYS, holidays, long_date, long_date_of, period
+from lonja.functions.questions import date_range, mentions, numbers
 from lonja.functions.text import normalised, slug, tokens
 from lonja.operators import joins, retrieval, windows
+from lonja.operators.boosting import refitted
 from lonja.operators.series import SERIES, holding_rows
 from lonja.operators.usable import MASS, Range
 from lonja.plans.general import KEY, H
@@ -412,6 +414,20 @@ def _(spark, d):
     return best.groupBy(F.col("b.metodo").alias("metodo")).agg(F.count("*").alias("series"))
 
 
+@query("w17_refitted")
+def _(spark, d):
+    return refitted(px(spark, d), "p", "m")
+
+
+@query("a14_volume_gate")
+def _(spark, d):
+    """Does volume improve the regression? Mean errors over the series that have both."""
+    rows = refitted(px(spark, d), "p", "m", models=("ar1", "ar1_volumen")).groupBy(*SERIES)
+    both = rows.agg(F.max(F.when(F.col("metodo") == "ar1", F.col("mae"))).alias("a"), F.max(F.when(F.col("metodo") == "ar1_volumen", F.col("mae"))).alias("b")).where("b IS NOT NULL")
+    means = both.agg(F.count("*").alias("series"), F.avg("a").alias("mae_control"), F.avg("b").alias("mae_volumen"))
+    return means.withColumn("mejora", F.try_divide(F.col("mae_control") - F.col("mae_volumen"), F.col("mae_control")) * 100)
+
+
 @query("w18_carried", f"WITH {PX} SELECT producto_id, mercado_id, fecha, coalesce(last_value(m IGNORE NULLS) OVER ({W}), first_value(m IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS m FROM px")
 def _(spark, d):
     return px(spark, d).select(*KEY, windows.carried("m").alias("m"))
@@ -460,6 +476,38 @@ def _(spark, d):
     return rows.join(F.broadcast(last), "fecha").select(*SERIES, "p").orderBy(F.desc("p"), *SERIES).limit(10)
 
 
+# -- questions ----------------------------------------------------------------------------------
+
+_DAYS = "SELECT DISTINCT fecha FROM precios_diarios WHERE fecha IS NOT NULL"
+
+
+@query(
+    "f25_date_ranges",
+    f"""WITH f AS ({_DAYS}), q AS (SELECT fecha, unnest(['precio de la papa hoy', 'y ayer?', 'esta semana', 'la semana pasada', 'este mes', 'el mes pasado', 'el año pasado', 'este año', 'los últimos 10 días', 'el 2024-05-01', 'cuánto suele costar en agosto', 'nada']) AS pregunta FROM f),
+ m AS (SELECT *, fecha - CAST(isodow(fecha) - 1 AS INTEGER) AS lunes, CAST(date_trunc('month', fecha) AS DATE) AS mes, CAST(date_trunc('year', fecha) AS DATE) AS anio FROM q)
+ SELECT fecha, pregunta, CASE WHEN pregunta LIKE '%hoy' THEN fecha WHEN pregunta = 'y ayer?' THEN fecha - 1 WHEN pregunta = 'esta semana' THEN lunes WHEN pregunta = 'la semana pasada' THEN lunes - 7 WHEN pregunta = 'este mes' THEN mes
+  WHEN pregunta = 'el mes pasado' THEN CAST(mes - INTERVAL 1 MONTH AS DATE) WHEN pregunta = 'el año pasado' THEN CAST(anio - INTERVAL 1 YEAR AS DATE) WHEN pregunta = 'este año' THEN anio WHEN pregunta LIKE 'los%' THEN fecha - 10 WHEN pregunta LIKE 'el 2024%' THEN DATE '2024-05-01' END AS desde,
+  CASE WHEN pregunta = 'y ayer?' THEN fecha - 1 WHEN pregunta = 'la semana pasada' THEN lunes - 1 WHEN pregunta = 'el mes pasado' THEN mes - 1 WHEN pregunta = 'el año pasado' THEN anio - 1 WHEN pregunta LIKE 'el 2024%' THEN DATE '2024-05-01' WHEN pregunta LIKE 'cuánto%' OR pregunta = 'nada' THEN NULL ELSE fecha END AS hasta FROM m""",
+)
+def _(spark, d):
+    asked = "precio de la papa hoy|y ayer?|esta semana|la semana pasada|este mes|el mes pasado|el año pasado|este año|los últimos 10 días|el 2024-05-01|cuánto suele costar en agosto|nada".split("|")
+    days = table(spark, d, "precios_diarios").where("fecha IS NOT NULL").select("fecha").distinct()
+    rows = days.withColumn("pregunta", F.explode(F.array(*map(F.lit, asked)))).withColumn("r", date_range("pregunta", "fecha"))
+    return rows.select("fecha", "pregunta", "r.desde", "r.hasta")
+
+
+@query("f28_numbers")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", numbers("text").alias("cifras"))
+
+
+@query("r09_mentions")
+def _(spark, d):
+    """The products that the questions of the query set name."""
+    asked = _asked(table(spark, d, "documents"))
+    return mentions(asked, table(spark, d, "productos"), "pregunta", "texto", "id", "nombre_canonico")
+
+
 # -- retrieval ----------------------------------------------------------------------------------
 
 _ASKED = "q AS (SELECT doc_id AS pregunta, concat(coalesce(producto, ''), ' ', coalesce(mercado, ''), ' ', coalesce(tipo, '')) AS texto FROM documents WHERE doc_id % 20 = 0)"

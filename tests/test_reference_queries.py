@@ -1,14 +1,16 @@
 import pytest
 
-from lonja.plans import reference
+from lonja.plans import more, reference
 from oracle import DATA, assert_same
 
+QUERIES, SQL = {**reference.QUERIES, **more.QUERIES}, {**reference.SQL, **more.SQL}
 
-@pytest.mark.parametrize("name", sorted(reference.SQL))
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
-    assert_same(spark, reference.QUERIES[name], reference.SQL[name])
+    assert_same(spark, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert reference.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
