@@ -123,9 +123,12 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 np.add.at(mark, np.clip(p - width + 1, 0, n), 1)
                 np.add.at(mark, np.clip(p + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(mark[:n]) > 0)
-                made = [pa.array(r.windows(codes, length)[at].view(np.int64)) for r in rolls]
-                of = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([b.column("_d").take(of), *made, pa.array(at.astype(np.int32))], names=["_d", "g", "h", "pos"])
+                made = [r.windows(codes, length)[at].view(np.int64) for r in rolls]
+                for lo in range(0, len(at), 65_536):  # a long text leaves in batches of bounded size
+                    part = slice(lo, lo + 65_536)
+                    of = pa.array(np.full(len(at[part]), i))
+                    columns = [b.column("_d").take(of), *(pa.array(m[part]) for m in made), pa.array(at[part].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_d", "g", "h", "pos"])
 
     windows = written(rows.join(places, "_d").select("_d", "_t", "_p").mapInArrow(extend, f"_d {id_type}, g bigint, h bigint, pos int"), "windows")
     twice = written(_in_two(windows, ["g", "h"]), "common-windows")

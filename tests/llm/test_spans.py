@@ -58,6 +58,13 @@ def test_exactly_the_length(spark):
     assert sorted(found(spark, rows)) == [(1, 50, 250), (2, 0, 200)]
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    s = noise(rng, 150_000, "abcdefgh \n")
+    got = sorted(found(spark, [(1, s), (2, noise(rng, 69_999) + "#" + s[1000:140_000] + "#"), (3, " " * 100_000), (4, "x" + " " * 90_000)]))
+    assert got == [(1, 1000, 140_000), (2, 70_000, 209_000), (3, 0, 100_000), (4, 1, 90_001)]
+
+
 def test_within_one_document_is_no_case(spark):
     s = noise(random.Random(6), 300)
     assert found(spark, [(1, s + s), (1, s), (None, s), (2, None)]) == []
