@@ -73,3 +73,11 @@ def split_letters(text: str | Column) -> tuple[Column, Column]:
     t = F.col(text) if isinstance(text, str) else text
     number = F.regexp_replace(t, r"[^0-9.]", "").try_cast("double")
     return number, F.regexp_replace(t, r"[^\p{L} ]", "")
+
+
+def fingerprint(words: DataFrame, doc: Sequence[str], text: str, x: str, keywords: Sequence[str]) -> DataFrame:
+    """doc, huella, faltan: the keywords of a page's head in the order they stand in, and those that are missing."""
+    found = words.where(F.lower(text).isin(*keywords)).groupBy(*doc, F.lower(text).alias("_k")).agg(F.min(x).alias("_x"))
+    seen = words.select(*doc).distinct().join(found.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("_x", "_k"))).alias("_w")), list(doc), "left")
+    order = F.coalesce(F.transform("_w", lambda w: w["_k"]), F.array().cast("array<string>"))
+    return seen.select(*doc, F.array_join(order, "|").alias("huella"), F.array_except(F.array(*map(F.lit, keywords)), order).alias("faltan"))

@@ -264,3 +264,124 @@ def _(spark, d):
 def _(spark: SparkSession, d: str):
     rows = table(spark, d, "documents").select(F.explode(F.array_distinct(tokens("producto"))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("textos"))
+
+
+# -- dates, profiles, alignment -----------------------------------------------------------------
+
+
+@query(
+    "s03_dated_links",
+    r"""WITH l AS (SELECT regexp_extract(url, '/([^/]+)/[0-9]{4}-[0-9]{2}-[0-9]{2}/', 1) AS fuente, TRY_CAST(regexp_extract(url, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS DATE) AS dia, url FROM fuentes_raw)
+ SELECT fuente, dia, min(url) AS url FROM l WHERE dia IS NOT NULL GROUP BY ALL""",
+)
+def _(spark, d):
+    """The first link of each source and day; impossible days are dropped."""
+    found = F.try_to_timestamp(F.regexp_extract("url", "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit("yyyy-MM-dd")).cast("date")
+    rows = table(spark, d, "fuentes_raw").select(F.regexp_extract("url", "/([^/]+)/[0-9]{4}-[0-9]{2}-[0-9]{2}/", 1).alias("fuente"), found.alias("dia"), "url")
+    return rows.where("dia IS NOT NULL").groupBy("fuente", "dia").agg(F.min("url").alias("url"))
+
+
+@query(
+    "l03_relaxed_filter",
+    """WITH q AS (SELECT doc_id AS pregunta, slug, fecha_inicio FROM documents WHERE doc_id % 20 = 0 AND slug IS NOT NULL), c AS (SELECT q.pregunta, count(*) FILTER (d.fecha_fin >= q.fecha_inicio AND d.tipo = 'evento_anomalia') AS pasan, count(*) AS todos FROM q JOIN documents d ON d.slug = q.slug GROUP BY ALL)
+ SELECT pregunta, CASE WHEN pasan > 0 THEN pasan ELSE todos END AS textos, pasan = 0 AS abierto FROM c""",
+)
+def _(spark, d):
+    """How many texts of the product a question's filter leaves; where it leaves none, it is opened."""
+    docs = table(spark, d, "documents").where(F.col("slug").isNotNull())
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("pregunta"), "slug", F.col("fecha_inicio").alias("_f"))
+    # Of each product its texts by last day, which the calendar bounds; no question meets single texts.
+    events = F.col("tipo") == "evento_anomalia"
+    days = docs.groupBy("slug", "fecha_fin").agg(F.count_if(events).alias("e"), F.count("*").alias("t"))
+    held = days.groupBy("slug").agg(F.collect_list(F.struct("fecha_fin", "e")).alias("_d"), F.sum("t").alias("t"))
+    passing = F.aggregate(F.filter("_d", lambda x: x["fecha_fin"] >= F.col("_f")), F.lit(0).cast("bigint"), lambda s, x: s + x["e"])
+    rows = asked.join(held, "slug").withColumn("p", passing)
+    return rows.select("pregunta", F.when(F.col("p") > 0, F.col("p")).otherwise(F.col("t")).alias("textos"), (F.col("p") == 0).alias("abierto"))
+
+
+@query(
+    "f15_next_dates",
+    f"""WITH {PX}, g AS (SELECT producto_id, mercado_id, fecha, CAST(fecha - lag(fecha) OVER ({W}) AS BIGINT) AS paso FROM px WHERE p IS NOT NULL), s AS (SELECT producto_id, mercado_id, max(fecha) AS ultima, greatest(1, round_even(coalesce(median(paso), 1), 0)) AS paso FROM g GROUP BY ALL)
+ SELECT producto_id, mercado_id, ultima, ultima + CAST(paso AS INTEGER) AS h1, ultima + CAST(paso * 7 AS INTEGER) AS h7 FROM s""",
+)
+def _(spark, d):
+    """Where the next and the seventh next observation are due: the last date and the median step."""
+    rows = px(spark, d).where("p IS NOT NULL")
+    step = windows.median_gap(rows).select(*SERIES, F.greatest(F.lit(1), F.rint(F.coalesce("paso", F.lit(1.0))).cast("int")).alias("k"))
+    last = rows.groupBy(*SERIES).agg(F.max("fecha").alias("ultima"))
+    return last.join(step, list(SERIES)).select(*SERIES, "ultima", F.date_add("ultima", F.col("k")).alias("h1"), F.date_add("ultima", F.col("k") * 7).alias("h7"))
+
+
+@query("f31_spans", "SELECT doc_id, CAST(fecha_fin - fecha_inicio AS INTEGER) + 1 AS dias FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", (F.datediff("fecha_fin", "fecha_inicio") + 1).alias("dias"))
+
+
+@query(
+    "c18_range_warnings",
+    f"WITH {PX} SELECT mercado_id, count(*) FILTER (p < 2000) AS bajos, count(*) FILTER (p > 600000) AS altos, count(*) FILTER (p IS NULL) AS sin_precio, count(*) FILTER (m IS NULL) AS sin_masa FROM px GROUP BY mercado_id",
+)
+def _(spark, d):
+    checks = {"bajos": F.col("p") < 2000, "altos": F.col("p") > 600000, "sin_precio": F.col("p").isNull(), "sin_masa": F.col("m").isNull()}
+    return px(spark, d).groupBy("mercado_id").agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
+
+
+@query(
+    "a08_profiles",
+    f"""WITH {PX}, y AS (SELECT producto_id, month(fecha) AS mes, CAST(sum(p) AS DOUBLE) / count(p) AS media FROM px WHERE p IS NOT NULL GROUP BY ALL), t AS (SELECT producto_id, count(*) AS meses, arg_min(mes, media) AS barato, arg_max(mes, media) AS caro FROM y GROUP BY ALL)
+ SELECT px.producto_id, min(fecha) AS desde, max(fecha) AS hasta, count(p) AS n, min(p) AS minimo, max(p) AS maximo, count(DISTINCT mercado_id) AS mercados, any_value(CASE WHEN meses >= 6 THEN barato END) AS barato, any_value(CASE WHEN meses >= 6 THEN caro END) AS caro FROM px LEFT JOIN t USING (producto_id) GROUP BY px.producto_id""",
+)
+def _(spark, d):
+    """What a product's profile says: its span, extremes, markets and, from six months on, its cheapest and dearest month."""
+    rows = px(spark, d)
+    months = rows.where("p IS NOT NULL").groupBy("producto_id", F.month("fecha").alias("mes")).agg((F.sum("p").cast("double") / F.count("p")).alias("v"))
+    season = months.groupBy("producto_id").agg(F.count("*").alias("k"), F.min_by("mes", "v").alias("b"), F.max_by("mes", "v").alias("c"))
+    out = rows.groupBy("producto_id").agg(F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"), F.count("p").alias("n"), F.min("p").alias("minimo"), F.max("p").alias("maximo"), F.countDistinct("mercado_id").alias("mercados"))
+    return out.join(season, "producto_id", "left").select(*out.columns, F.when(F.col("k") >= 6, F.col("b")).alias("barato"), F.when(F.col("k") >= 6, F.col("c")).alias("caro"))
+
+
+@query(
+    "a09_day_facts",
+    f"""WITH {PX}, c AS (SELECT *, last_value(p IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q, max(fecha) OVER (PARTITION BY mercado_id) AS f1 FROM px), v AS (SELECT *, CAST(floor(CAST(p - q AS DOUBLE) / q * 1e6 + 0.5) AS BIGINT) AS v FROM c WHERE fecha = f1)
+ SELECT mercado_id, fecha, sum(m)::BIGINT AS masa, coalesce(array_to_string(list(producto_id ORDER BY v DESC, producto_id) FILTER (v > 0)[1:3], ' '), '') AS suben, coalesce(array_to_string(list(producto_id ORDER BY v, producto_id) FILTER (v < 0)[1:3], ' '), '') AS bajan FROM v GROUP BY ALL""",
+)
+def _(spark, d):
+    """The last day of each market: its mass, and the three products that rose and fell most."""
+    rows = px(spark, d).withColumns({"c": windows.change("p"), "_f": F.max("fecha").over(Window.partitionBy("mercado_id"))}).where("fecha = _f")
+    rows = rows.withColumn("v", F.floor(F.col("c") * 1e6 + 0.5).cast("bigint"))
+    three = lambda ok, by: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(ok, F.struct(by.alias("o"), "producto_id")))), 1, 3), lambda x: x["producto_id"].cast("string")), " ")
+    return rows.groupBy("mercado_id", "fecha").agg(F.sum("m").alias("masa"), three(F.col("v") > 0, -F.col("v")).alias("suben"), three(F.col("v") < 0, F.col("v")).alias("bajan"))
+
+
+@query(
+    "j11_aligned",
+    f"""WITH {PX}, d AS (SELECT mercado_id, fecha FROM (SELECT DISTINCT mercado_id, fecha FROM px) QUALIFY row_number() OVER (PARTITION BY mercado_id ORDER BY fecha DESC) <= 30), s AS (SELECT DISTINCT mercado_id, producto_id FROM px)
+ SELECT d.mercado_id, d.fecha, s.producto_id, px.p FROM d JOIN s USING (mercado_id) LEFT JOIN px ON px.mercado_id = d.mercado_id AND px.fecha = d.fecha AND px.producto_id = s.producto_id""",
+)
+def _(spark, d):
+    """The products of a market side by side on the union of their last thirty dates, null where one has none."""
+    rows = px(spark, d).select(*KEY, "p")
+    rank = F.row_number().over(Window.partitionBy("mercado_id").orderBy(F.desc("fecha")))
+    days = rows.select("mercado_id", "fecha").distinct().withColumn("k", rank).where("k <= 30").drop("k")
+    return days.join(rows.select("mercado_id", "producto_id").distinct(), "mercado_id").join(rows, ["mercado_id", "fecha", "producto_id"], "left")
+
+
+@query(
+    "w27_axes",
+    f"""WITH {PX}, a AS (SELECT mercado_id, min(p) AS lo, max(p) AS hi FROM px WHERE p IS NOT NULL GROUP BY ALL) SELECT mercado_id, greatest(0, lo - CASE WHEN hi = lo THEN 5000 ELSE (hi - lo) * 12 // 100 END) AS desde, hi + CASE WHEN hi = lo THEN 5000 ELSE (hi - lo) * 12 // 100 END AS hasta FROM a""",
+)
+def _(spark, d):
+    """The range of a chart over all series of a market, with a margin of 12 %."""
+    rows = px(spark, d).groupBy("mercado_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo IS NOT NULL")
+    pad = F.when(F.col("hi") == F.col("lo"), 5000).otherwise(F.floor((F.col("hi") - F.col("lo")) * 12 / 100))
+    return rows.select("mercado_id", F.greatest(F.lit(0), F.col("lo") - pad).alias("desde"), (F.col("hi") + pad).alias("hasta"))
+
+
+@query("k02_extremes", f"WITH {PX}, k AS (SELECT mercado_id, producto_id, p, row_number() OVER (PARTITION BY mercado_id ORDER BY p, producto_id) AS barato, row_number() OVER (PARTITION BY mercado_id ORDER BY p DESC, producto_id) AS caro FROM px WHERE p IS NOT NULL AND fecha = (SELECT max(fecha) FROM px x WHERE x.mercado_id = px.mercado_id AND x.p IS NOT NULL)) SELECT mercado_id, producto_id, p FROM k WHERE barato <= 3 OR caro <= 3")
+def _(spark, d):
+    """The three cheapest and dearest products of each market on the last day with prices."""
+    rows = px(spark, d).where("p IS NOT NULL")
+    last = rows.groupBy("mercado_id").agg(F.max("fecha").alias("fecha"))
+    own = Window.partitionBy("mercado_id")
+    ranked = rows.join(last, ["mercado_id", "fecha"]).withColumns({"a": F.row_number().over(own.orderBy("p", "producto_id")), "z": F.row_number().over(own.orderBy(F.desc("p"), "producto_id"))})
+    return ranked.where("a <= 3 OR z <= 3").select("mercado_id", "producto_id", "p")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from lonja.operators.boosting import best_split, boosted, features, origins, refitted
-from lonja.operators.layout import clustered, in_bands, joined, longest_prefix, split_letters
+from lonja.operators.layout import clustered, fingerprint, in_bands, joined, longest_prefix, split_letters
 
 
 def test_rows_by_anchor(spark):
@@ -29,6 +29,12 @@ def test_bands_joins_and_prefixes(spark):
     assert [(x.n, x.l) for x in r] == [(2.5, "Estable"), (2.5, "Estable")]
 
 
+def test_fingerprints(spark):
+    df = spark.createDataFrame([(1, "Precio", 50.0), (1, "PRODUCTO", 1.0), (1, "producto", 90.0), (1, "otro", 5.0), (2, "otro", 1.0)], "d int, t string, x double")
+    got = {r.d: (r.huella, r.faltan) for r in fingerprint(df, ["d"], "t", "x", ["producto", "precio", "masa"]).collect()}
+    assert got == {1: ("producto|precio", ["masa"]), 2: ("", ["producto", "precio", "masa"])}
+
+
 def test_split_against_all_thresholds():
     rng = np.random.default_rng(0)
     x, r = rng.integers(0, 5, (30, 3)).astype(float), rng.normal(size=30)
