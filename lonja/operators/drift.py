@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,20 @@ from lonja.session import written
 KINDS = {bool: "booleano", int: "numero", float: "numero", str: "texto", list: "lista", dict: "objeto"}
 #: Distinct values kept in a sketch (those with the smallest hashes).
 SKETCH = 16
+DIGIT = re.compile(r"\d")
 
 
+@lru_cache(maxsize=4096)
 def field_name(s: str) -> str:
     """Lower case, no accents, words joined by `_`."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", "_", plain.lower()).strip("_")
 
 
+def mean(values: Sequence[float]) -> float:
+    return sum(values) / len(values) if values else 0.0
+
+
 def rows_of(text: str | None) -> list[dict]:
     """The JSON rows of a delivery; anything that is no array of objects has none."""
     try:
@@ -68,12 +75,12 @@ def profile(text: str | None) -> list[list]:
         kind = kinds.most_common(1)[0][0] if kinds else None
         own = [v for v in values[k] if KINDS[type(v)] == kind]
         if kind == "numero":
-            size, digits = float(np.mean([math.log10(abs(v) + 1e-3) for v in own])), 0.0
+            size, digits = mean([math.log10(abs(v) + 1e-3) for v in own]), 0.0
         else:
             texts = [v if isinstance(v, str) else json.dumps(v) for v in own]
-            size = float(np.mean([len(t) for t in texts])) if texts else 0.0
-            digits = float(np.mean([sum(c.isdigit() for c in t) / max(1, len(t)) for t in texts])) if texts else 0.0
-        hashes = sorted({zlib.crc32(json.dumps(v).encode()) for v in own})[:SKETCH]
+            size = mean([len(t) for t in texts])
+            digits = mean([len(DIGIT.findall(t)) / max(1, len(t)) for t in texts])
+        hashes = sorted({zlib.crc32(repr(v).encode()) for v in own})[:SKETCH]
         out.append([k, kind, size, digits, hashes])
     return out
 
@@ -171,19 +178,24 @@ def drift(df: DataFrame, key: str = "reporte_id", source: str = "fuente", order:
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([json.dumps(profile(t)) for t in b.column(content).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, source, order)), made], names=[key, source, order, "perfil"])
+            made = [profile(t) for t in b.column(content).to_pylist()]
+            kinds_of = pa.array(["|".join(sorted(f"{f[0]}:{f[1] or ''}" for f in p)) for p in made], pa.string())
+            columns = [*(b.column(c) for c in (key, source, order)), pa.array([json.dumps(p) for p in made], pa.string()), kinds_of]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, source, order, "perfil", "firma"])
 
     kinds = dict(df.dtypes)
     rows = deliveries(df, key, source, order, content).where(F.col(order).isNotNull() & F.col(source).isNotNull())
-    rows = rows.mapInArrow(profiles, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, perfil string")
+    rows = rows.mapInArrow(profiles, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, perfil string, firma string")
+    rows = rows.select(key, source, order, F.struct("perfil", "firma").alias("_p"))
     rows = written(rows.withColumn("_tile", F.trunc(order, "month")), "profiles")
     within = Window.partitionBy(source, "_tile").orderBy(order, key)
-    near = rows.withColumns({"_before": F.lag("perfil").over(within), "_first": F.row_number().over(within) == 1})
-    last = rows.groupBy(source, "_tile").agg(F.max_by("perfil", F.struct(order, key)).alias("_last"))
+    near = rows.withColumns({"_before": F.lag("_p").over(within), "_first": F.row_number().over(within) == 1})
+    last = rows.groupBy(source, "_tile").agg(F.max_by("_p", F.struct(order, key)).alias("_last"))
     last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(source).orderBy("_tile"))).select(source, "_tile", "_carried")
     pairs = near.join(last.where(F.col("_carried").isNotNull()), [source, "_tile"], "left")
-    pairs = pairs.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))).where(F.col("_before").isNotNull() & (F.col("_before") != F.col("perfil")))
+    pairs = pairs.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")))
+    # Equal names and kinds, whatever their order and values, are no change.
+    pairs = pairs.where(F.col("_before.firma") != F.col("_p.firma")).select(key, source, order, F.col("_before.perfil").alias("_before"), F.col("_p.perfil").alias("perfil"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +207,7 @@ def drift(df: DataFrame, key: str = "reporte_id", source: str = "fuente", order:
             took = [b.column(c).take(pa.array(at, pa.int64())) for c in (key, source, order)]
             yield pa.RecordBatch.from_arrays([*took, *(pa.array([o[k] for o in out], pa.string()) for k in range(3))], names=[key, source, order, "campo", "cambio", "nuevo"])
 
-    return pairs.select(key, source, order, "_before", "perfil").mapInArrow(compare, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, campo string, cambio string, nuevo string")
+    return pairs.mapInArrow(compare, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, campo string, cambio string, nuevo string")
 
 
 def canonical_names(found: DataFrame, source: str = "fuente", order: str = "fecha") -> DataFrame:
