@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lonja.operators.series import Block, map_series
-from lonja.operators.skew import join_counted
+from lonja.operators.skew import SHARE
 from lonja.session import written
 
 #: Where the vocabularies lie; a parameter of every function here.
@@ -21,7 +22,7 @@ FOLDER = os.environ.get("LONJA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text into the words that byte pair merges stay within,
 #: with Unicode white space (U) as the tokenizer has it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longest word, in characters, that joins by broadcast; longer ones join by key at any frequency.
+#: Longest word, in characters, in the table of frequent words; longer ones join by key at any frequency.
 LONGEST = 64
 
 
@@ -36,11 +37,6 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _h (hash of key and text), pos, word: one row for each word of each text."""
-    return docs.select(F.col(key), F.xxhash64(key, text).alias("_h"), F.posexplode(words(text)).alias("pos", "word"))
-
-
 def encoded_words(docs: DataFrame, text: str, name: str, folder: str) -> DataFrame:
     """word, n (occurrences), ids: each distinct word once. Written to the shared folder."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(name, folder))
@@ -57,40 +53,115 @@ def encoded_words(docs: DataFrame, text: str, name: str, folder: str) -> DataFra
     return written(distinct.mapInArrow(encode, "word string, n bigint, ids array<int>"), "words")
 
 
-def with_words(docs: DataFrame, key: str, text: str, name: str, folder: str) -> DataFrame:
-    """key, _h, pos, ids of each word occurrence.
+def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[start[i]:start[i] + size[i]] for each i, one after the other, and i of each."""
+    of = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    return values[start[of] + at], of
+
+
+def lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
 
-    Frequent words of up to LONGEST characters meet their occurrences by broadcast, see `join_counted`.
+def numbered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, length of each list) of a column of lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def parts(docs: DataFrame, key: str, text: str, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, rare): what is known of each text by its frequent words, and the ids of its rare ones.
+
+    texts: key, _h (hash of key and text), ids, cola. A frequent word stands in ids by its own ids; the
+    k-th rare word of the text (from 0) by -1 - k, and its string in cola. Frequent words have at least
+    SHARE of all occurrences, so there are at most 1 / SHARE of them, each of up to LONGEST characters:
+    that table goes to every task. rare: _h, k, ids, by a join of the words of cola with the table of
+    distinct words; none of them has a large share of the corpus unless it is longer than LONGEST.
     """
     table = encoded_words(docs, text, name, folder)
-    return join_counted(occurrences(docs, key, text), table, ["word"], fits=F.length("word") <= LONGEST).select(key, "_h", "pos", "ids")
+    total = table.agg(F.sum("n")).first()[0] or 0
+    frequent = (F.col("n") >= max(1.0, total * SHARE)) & (F.length("word") <= LONGEST)
+    head = table.where(frequent).select("word", "ids").orderBy("word").limit(int(1 / SHARE) + 1).collect()
+    known = docs.sparkSession.sparkContext.broadcast(([r.word for r in head], [r.ids for r in head]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.array(known.value[0], pa.string())
+        own_size = np.array([len(x) for x in known.value[1]] + [0], np.int64)
+        own = np.array([i for x in known.value[1] for i in x] + [0], np.int64)
+        own_start = np.cumsum(own_size) - own_size
+        for b in batches:
+            column = b.column("_w")
+            words_of = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten()
+            index = pc.index_in(flat, value_set=strings).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), words_of)
+            rare = index < 0
+            rare_of = np.bincount(doc, rare, b.num_rows).astype(np.int64)
+            before = np.cumsum(rare_of) - rare_of
+            turn = np.cumsum(rare) - 1 - before[doc]
+            size = np.where(rare, 1, own_size[index])
+            # The ids of all words, frequent ones from the table; the places of rare ones are set after.
+            got, of = spread(own, np.where(rare, 0, own_start[index]), size)
+            got = np.where(rare[of], -1 - turn[of], got)
+            ids = lists(got, np.bincount(doc, size, b.num_rows).astype(np.int64))
+            tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_of)].astype(np.int32)), flat.filter(pa.array(rare)))
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("_h"), ids, tail], names=[key, "_h", "ids", "cola"])
+
+    kind = dict(docs.dtypes)[key]
+    split = docs.select(F.col(key), F.xxhash64(key, text).alias("_h"), words(text).alias("_w"))
+    texts = written(split.mapInArrow(look_up, f"{key} {kind}, _h bigint, ids array<int>, cola array<string>"), "texts")
+    rare = texts.where(F.size("cola") > 0).select("_h", F.posexplode("cola").alias("k", "word")).join(table.where(~frequent).select("word", "ids"), "word")
+    return texts, rare.select("_h", "k", "ids")
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """key, ids (array<int>): the ids of each text, without special tokens.
+    """key, ids (array<int>): the ids of each text, without special tokens; one row for each row of docs.
 
-    Strings of special tokens are ordinary text. Null and empty texts have the empty list. Rows are
-    told apart by key and text: identical repeated rows come out once, one key with two texts twice.
-    A null key is a key. Other columns are not read. The words of a text are sorted and streamed,
-    so memory holds some texts at a time.
+    Strings of special tokens are ordinary text. Null and empty texts have the empty list. Repeated rows,
+    null keys, and one key with several texts are all kept. Other columns are not read. Texts with rare
+    words meet the ids of those by a hash of key and text, and are streamed; memory holds some at a time.
     """
-    rows = with_words(docs, key, text, name, folder)
-
-    def pack(b: Block) -> dict[str, pa.ChunkedArray]:
-        keep = ~repeated(b)
-        ids = b.columns.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        if not keep.all():
-            ids = ids.filter(pa.array(keep))
-        ends = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
-        words = np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), b.starts))]
-        lists = pa.ListArray.from_arrays(pa.array(ends[words].astype(np.int32)), ids.flatten())
-        return {key: b.columns.column(key).take(pa.array(b.starts)), "ids": pa.chunked_array([lists])}
+    texts, rare = parts(docs, key, text, name, folder)
+    whole = texts.where(F.size("cola") == 0).select(key, "ids")
+    open_ = texts.where(F.size("cola") > 0).select(key, "_h", F.lit(-1).alias("k"), "ids")
+    rows = open_.unionByName(rare.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), "_h", "k", "ids"))
+
+    def fill(b: Block) -> dict[str, pa.Array | pa.ChunkedArray]:
+        k, series = b["k"], b.series
+        values, size = numbered(b.columns.column("ids"))
+        start = np.cumsum(size) - size
+        is_text = k < 0
+        # Repeated rows bring their rare words as often; each (series, k) once.
+        once = ~is_text & np.r_[True, (k[1:] != k[:-1]) | (series[1:] != series[:-1])]
+        word = np.flatnonzero(once)
+        first = np.searchsorted(series[word], np.arange(len(b.starts)))
+        text_row = np.flatnonzero(is_text)
+        v, of = spread(values, start[text_row], size[text_row])
+        gap = v < 0
+        row = np.zeros(len(v), np.int64)
+        row[gap] = word[first[series[text_row[of[gap]]]] - 1 - v[gap]]
+        # Each place is one id, or the ids of a rare word.
+        joined = np.r_[v, values]
+        got, place = spread(joined, np.where(gap, len(v) + start[row], np.arange(len(v))), np.where(gap, size[row], 1))
+        count = np.bincount(of[place], minlength=len(text_row)).astype(np.int64)
+        return {key: b.columns.column(key).take(pa.array(text_row)), "ids": pa.chunked_array([lists(got, count)])}
 
     out = StructType([StructField(key, docs.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
-    full = map_series(rows, pack, out, keys=["_h"], order="pos")
-    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids")).distinct()
-    return full.unionByName(empty)
+    return whole.unionByName(map_series(rows, fill, out, keys=["_h"], order="k"))
+
+
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """key, tokens: how many ids each text has; one row for each row of docs, as in `token_ids`.
+
+    Rare words are summed before the shuffle; no list of ids is built from them.
+    """
+    texts, rare = parts(docs, key, text, name, folder)
+    # Identical repeated rows add up to a multiple, as many times as their first rare word comes.
+    sums = rare.groupBy("_h").agg((F.sum(F.size("ids")) / F.count_if(F.col("k") == 0)).cast("bigint").alias("_s"))
+    own = F.size("ids") - F.size("cola")
+    return texts.select(key, "_h", own.alias("_o")).join(sums, "_h", "left").select(key, (F.col("_o") + F.coalesce("_s", F.lit(0))).cast("bigint").alias("tokens"))
 
 
 def repeated(b: Block) -> np.ndarray:
@@ -99,19 +170,6 @@ def repeated(b: Block) -> np.ndarray:
     return np.r_[False, (pos[1:] == pos[:-1]) & (b.series[1:] == b.series[:-1])]
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """key, tokens: how many ids each text has. Summed before the shuffle, without building the ids.
-
-    One row for each key and text, as in `token_ids`.
-    """
-    rows = with_words(docs, key, text, name, folder)
-    # Identical repeated rows add up to a multiple, as many times as position 0 comes.
-    counted = rows.groupBy(key, "_h").agg(F.sum(F.size("ids")).alias("s"), F.count_if(F.col("pos") == 0).alias("c"))
-    full = counted.select(key, (F.col("s") / F.col("c")).cast("bigint").alias("tokens"))
-    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.lit(0).cast("bigint").alias("tokens")).distinct()
-    return full.unionByName(empty)
-
-
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """id, piece: the vocabulary, whose size does not depend on the corpus."""
     return spark.createDataFrame([(i, bytearray(p)) for p, i in read_ranks(name, folder).items()], "id int, piece binary")
