@@ -126,8 +126,10 @@ class Reference:
     entries: Sequence[tuple[int, str]]
     aliases: Mapping[str, Sequence[str]] = field(default_factory=dict)
     fillers: frozenset[str] = frozenset({"tipo"})
+    memory: int = 200_000  # readings whose result is kept
 
     def __post_init__(self) -> None:
+        self.known: dict[tuple[str, ...], list[Match]] = {}
         self.kinds: list[str] = []
         self.varieties: list[str] = []
         self.ids: dict[tuple[int, int], list[int]] = {}
@@ -210,8 +212,16 @@ class Reference:
 
     def matches(self, text: str | None) -> list[Match]:
         """All entries at the least distance within the one allowed; none if an unlisted path is nearer."""
+        queries = tuple(self.queries(text))
+        if queries not in self.known:
+            if len(self.known) >= self.memory:
+                self.known.clear()
+            self.known[queries] = self._nearest(queries)
+        return self.known[queries]
+
+    def _nearest(self, queries: Sequence[str]) -> list[Match]:
         best: list[Match] = []
-        for query in self.queries(text):
+        for query in queries:
             limit = allowed(len(query))
             if best:
                 limit = min(limit, best[0].distance)
@@ -333,7 +343,7 @@ def map_names(
     names = [(r[0], r[1]) for r in listed]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref = Reference(names, aliases or {})
+        ref = Reference(names, aliases or {}, memory=memory)
         known: dict[str | None, list[Match]] = {}
         for b in batches:
             asked = b.column(text).to_pylist()
