@@ -70,13 +70,36 @@ def sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     return best(right[: n - w + 1], left[w - 1 : n])
 
 
-def seeds(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Winnowing: the places that hold the least hash of some window of w hashes, ties included."""
+def seeds(hashes: np.ndarray, w: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Winnowing: the places that hold the least hash of some window of w hashes, ties included.
+
+    ends: for each place the end of its text; windows that reach over it are none.
+    """
     least = sliding(hashes, w, np.minimum)
     if not len(least):
         return np.zeros(0, np.int64)
+    if ends is not None:
+        least = np.where(np.arange(len(least)) + w <= ends[: len(least)], least, np.uint64(0))
     none = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(sliding(np.r_[none, least, none], w, np.maximum) == hashes)
+    return np.flatnonzero((sliding(np.r_[none, least, none], w, np.maximum) == hashes) & (hashes > 0))
+
+
+#: Code points that are worked on at a time.
+CHUNK = 1 << 20
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, text of each, place of each in its text) of runs of texts of about CHUNK code points."""
+    held: list[np.ndarray] = []
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        held.append(code_points(t.as_py()))
+        size += len(held[-1])
+        if size >= CHUNK or i == len(texts) - 1:
+            length = np.array([len(x) for x in held])
+            of = np.repeat(np.arange(len(held)), length)
+            yield np.concatenate(held), first + of, np.arange(size) - np.repeat(np.cumsum(length) - length, length)
+            held, first, size = [], i + 1, 0
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, seed: int = 100) -> DataFrame:
@@ -95,17 +118,15 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(BASES[0])
         for b in batches:
-            place, values, count = [], [], []
-            for t in b.column("_t"):
-                h = roll.windows(code_points(t.as_py()), seed)
-                at = seeds(h, width)
-                place.append(at)
-                values.append(h[at])
-                count.append(len(at))
-            of = pa.array(np.repeat(np.arange(b.num_rows), count))
-            hashes = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
-            places = np.concatenate([np.zeros(0, np.int64), *place]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("_d").take(of), pa.array(hashes), pa.array(places)], names=["_d", "h", "pos"])
+            for codes, of, place in chunks(b.column("_t")):
+                h = roll.windows(codes, seed)
+                end = np.searchsorted(of, of, side="right")[: len(h)]  # of each place, where its text ends
+                inside = np.arange(len(h)) + seed <= end
+                h = np.where(inside, np.maximum(h, np.uint64(1)), np.uint64(_MASK))
+                at = seeds(h, width, end - seed + 1)
+                at = at[inside[at]]
+                columns = [b.column("_d").take(pa.array(of[at])), pa.array(h[at].view(np.int64)), pa.array(place[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_d", "h", "pos"])
 
     id_type = dict(rows.dtypes)["_d"]
     anchors = written(rows.mapInArrow(find, f"_d {id_type}, h bigint, pos int"), "seeds")
@@ -115,19 +136,22 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(x) for x in BASES]
         for b in batches:
-            for i in range(b.num_rows):
-                codes = code_points(b.column("_t")[i].as_py())
-                p = np.asarray(b.column("_p")[i].as_py(), np.int64)
+            seeds_of, count = b.column("_p").flatten().to_numpy(zero_copy_only=False).astype(np.int64), b.column("_p").value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(b.num_rows), count)
+            for codes, of, place in chunks(b.column("_t")):
+                starts = np.r_[0, np.flatnonzero(np.diff(of)) + 1]
                 n = len(codes) - length + 1
-                mark = np.zeros(n + 1, np.int64)  # windows that hold a seed: from pos - (length - seed) to pos
-                np.add.at(mark, np.clip(p - width + 1, 0, n), 1)
-                np.add.at(mark, np.clip(p + 1, 0, n), -1)
+                mine = (owner >= of[0]) & (owner <= of[-1])
+                p = starts[owner[mine] - of[0]] + seeds_of[mine]
+                low = np.maximum(p - width + 1, starts[owner[mine] - of[0]])
+                # Windows that hold a seed: from pos - (length - seed) to pos, within their text.
+                mark = np.bincount(low, minlength=len(codes) + 1) - np.bincount(p + 1, minlength=len(codes) + 1)
                 at = np.flatnonzero(np.cumsum(mark[:n]) > 0)
+                at = at[of[at] == of[at + length - 1]]
                 made = [r.windows(codes, length)[at].view(np.int64) for r in rolls]
                 for lo in range(0, len(at), 65_536):  # a long text leaves in batches of bounded size
                     part = slice(lo, lo + 65_536)
-                    of = pa.array(np.full(len(at[part]), i))
-                    columns = [b.column("_d").take(of), *(pa.array(m[part]) for m in made), pa.array(at[part].astype(np.int32))]
+                    columns = [b.column("_d").take(pa.array(of[at[part]])), *(pa.array(m[part]) for m in made), pa.array(place[at[part]].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["_d", "g", "h", "pos"])
 
     windows = written(rows.join(places, "_d").select("_d", "_t", "_p").mapInArrow(extend, f"_d {id_type}, g bigint, h bigint, pos int"), "windows")
