@@ -329,13 +329,13 @@ def map_names(
 
     No shuffle: each task searches every distinct name once, remembering up to `memory` of them, so
     a name that fills a third of the rows costs no more than others. Null, empty and unreadable names
-    are unmatched. Rows are kept as they are; repeated rows give repeated results. Columns of df named
+    are unmatched; entries without id or name can't be meant. Rows are kept as they are; repeated rows give repeated results. Columns of df named
     like a result are replaced.
     """
     spark_kind = dict(reference.dtypes)[entry[0]]
     context = dict(context or {})
     ids = [entry[0], entry[1], *context.values()]
-    listed = [tuple(r) for r in reference.select(*ids).orderBy(entry[0]).limit(most_entries + 1).collect()]
+    listed = [tuple(r) for r in reference.where(f"{entry[0]} IS NOT NULL").select(*ids).distinct().orderBy(entry[0]).limit(most_entries + 1).collect()]
     if len(listed) > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
     df = df.drop("entrada", "distancia", "candidatos")
