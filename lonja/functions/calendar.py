@@ -59,7 +59,7 @@ def long_date(d: str | Column) -> Column:
     """"lunes 5 de enero de 2026"."""
     d = F.col(d) if isinstance(d, str) else d
     week, month = (F.array(*map(F.lit, names)) for names in (WEEKDAYS, MONTHS))
-    return F.concat(week[F.weekday(d)], F.lit(" "), F.dayofmonth(d), F.lit(" de "), month[F.month(d) - 1], F.lit(" de "), F.year(d))
+    return F.concat(F.get(week, F.weekday(d)), F.lit(" "), F.dayofmonth(d), F.lit(" de "), F.get(month, F.month(d) - 1), F.lit(" de "), F.year(d))
 
 
 def long_date_of(text: str | Column) -> Column:

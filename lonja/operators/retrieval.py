@@ -50,13 +50,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
 
     A stated query set against all rows, in blocks: both sides are packed into blocks of about `block`
     vectors, each two blocks are multiplied as matrices, and only the best k of a block for each query
-    leave the task. coseno is the product in steps of `step`; ties go to the smaller key. Null vectors
-    are left out; lengths must agree.
+    leave the task. coseno is the product in steps of `step`; ties go to the smaller key. Rows with a
+    null key or vector are left out; lengths must agree.
     """
     kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
 
     def blocks(df: DataFrame, of: str, what: str, names: tuple[str, str, str]) -> DataFrame:
-        rows = df.where(F.col(what).isNotNull()).select(F.col(of), F.col(what).cast("array<double>").alias("_v"))
+        rows = df.where(F.col(what).isNotNull() & F.col(of).isNotNull()).select(F.col(of), F.col(what).cast("array<double>").alias("_v"))
         count = max(1, -(-rows.count() // block))
         b = F.pmod(F.xxhash64(of), F.lit(count))
         return rows.groupBy(b.alias(names[0])).agg(F.collect_list(F.struct(F.col(of).alias("i"), F.col("_v").alias("v"))).alias(names[1])).select(F.col(f"{names[1]}.i").alias(names[1]), F.flatten(f"{names[1]}.v").alias(names[2]))
