@@ -13,6 +13,9 @@ from lonja.operators.series import SERIES, Block, map_series
 
 #: Lags of the boosted trees.
 LAGS = (1, 2, 3, 5, 7)
+#: Of each model: the fewest values of a series, and the place of its first origin.
+LEAST = {"gbm": 120, "ar1": 90, "ar1_volumen": 90}
+FIRST = {"gbm": 60, "ar1": 29, "ar1_volumen": 29}
 
 
 def best_split(order: np.ndarray, x: np.ndarray, r: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
@@ -85,10 +88,11 @@ def origins(start: int, n: int, ahead: int, most: int) -> list[int]:
     return list(range(start, n - ahead)) if size <= most else [start + k * size // most for k in range(most)]
 
 
-def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, warm: int = 60, most: int = 60, least: int = 120, models: Sequence[str] = ("gbm", "ar1", "ar1_volumen"), keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
+def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int = 60, rows: int = 30, models: Sequence[str] = ("gbm", "ar1", "ar1_volumen"), keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
     """keys, metodo, mae, origenes of models that are fitted anew at each origin: `gbm`, `ar1`, `ar1_volumen`.
 
-    Series of fewer than `least` values, or of fewer than 90 volumes (for ar1_volumen), are left out.
+    A model leaves out series of fewer values than its LEAST, ar1_volumen also those of fewer than 90
+    volumes, and gbm origins with fewer than `rows` rows to fit to; origins are chosen from its FIRST on.
     Missing volumes carry the last one on, leading ones the first. Errors are in the units of value.
     """
 
@@ -98,28 +102,33 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, warm: int =
             there = ~np.isnan(b["_y"][s:e])
             y, day, m = b["_y"][s:e][there], b[order][s:e][there].astype(np.int64), b["_m"][s:e][there]
             n = len(y)
-            if n < least:
+            able = [k for k in models if n >= LEAST[k]]
+            if not able:
                 continue
             first, last = (int(str(np.datetime64(int(d), "D"))[:4]) for d in (day[0], day[-1]))
             off = np.array([d.toordinal() - 719163 for d in holidays(first, last + 1)])
             x = features(y, day, ahead, off)
             known = ~np.isnan(x).any(1)
-            errors: dict[str, list[float]] = {k: [] for k in models if k != "ar1_volumen"}
             have = ~np.isnan(m)
-            if have.sum() >= 90 and "ar1_volumen" in models:
+            if have.sum() >= 90:
                 at = np.maximum.accumulate(np.where(have, np.arange(n), -1))
                 m = np.where(at >= 0, m[np.maximum(at, 0)], m[np.argmax(have)])
-                errors["ar1_volumen"] = []
-            for t in origins(warm - 1, n, ahead, most):
-                rows = known & (np.arange(n) <= t)
-                if rows.sum() >= 30 and "gbm" in errors:
-                    errors["gbm"].append(abs(boosted(x[rows], y[rows], x[t + ahead]) - y[t + ahead]))
-                one = np.ones(t + 1 - ahead)
-                for name, cols, new in (("ar1", [y[: t + 1 - ahead], one], [y[t], 1.0]), ("ar1_volumen", [y[: t + 1 - ahead], m[: t + 1 - ahead], one], [y[t], m[t], 1.0])):
-                    if name in errors:
-                        w = np.linalg.lstsq(np.stack(cols, 1), y[ahead : t + 1], rcond=None)[0]
-                        errors[name].append(abs(float(np.dot(w, new)) - y[t + ahead]))
-            for name, es in errors.items():
+            else:
+                able = [k for k in able if k != "ar1_volumen"]
+
+            def made(name: str, t: int) -> float | None:
+                if name == "gbm":
+                    fit = known & (np.arange(n) <= t)
+                    return boosted(x[fit], y[fit], x[t + ahead]) if fit.sum() >= rows else None
+                with_m = name == "ar1_volumen"
+                cols = [y[: t + 1 - ahead], *[m[: t + 1 - ahead]] * with_m, np.ones(t + 1 - ahead)]
+                w = np.linalg.lstsq(np.stack(cols, 1), y[ahead : t + 1], rcond=None)[0]
+                return float(np.dot(w, [y[t], *[m[t]] * with_m, 1.0]))
+
+            for name in able:
+                first_origin = max(FIRST[name], LAGS[-1] + ahead - 1) if name == "gbm" else FIRST[name]
+                guesses = [(made(name, t), y[t + ahead]) for t in origins(first_origin, n, ahead, most)]
+                es = [abs(g - real) for g, real in guesses if g is not None]
                 if es:
                     for k in keys:
                         out[k].append(b[k][s])
@@ -133,5 +142,5 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, warm: int =
     present = F.col(order).isNotNull()
     for k in keys:
         present &= F.col(k).isNotNull()
-    rows = df.where(present).select(*keys, order, F.col(value).cast("double").alias("_y"), F.col(volume).cast("double").alias("_m"))
-    return map_series(rows, kernel, schema, keys, order, target_rows=5_000, tasks=2 * df.sparkSession.sparkContext.defaultParallelism)
+    taken = df.where(present).select(*keys, order, F.col(value).cast("double").alias("_y"), F.col(volume).cast("double").alias("_m"))
+    return map_series(taken, kernel, schema, keys, order, target_rows=5_000, tasks=2 * df.sparkSession.sparkContext.defaultParallelism)

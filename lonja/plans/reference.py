@@ -416,7 +416,7 @@ def _(spark, d):
 
 @query("w17_refitted")
 def _(spark, d):
-    return refitted(px(spark, d), "p", "m")
+    return refitted(px(spark, d), "p", "m", rows=60)
 
 
 @query("a14_volume_gate")

@@ -79,3 +79,18 @@ def test_refitted_models(spark):
     got = {(r.producto_id, r.metodo): r for r in refitted(df, "p", "m", most=10).collect()}
     assert set(got) == {(1, "gbm"), (1, "ar1"), (1, "ar1_volumen")} and all(r.origenes == 10 for r in got.values())
     assert got[1, "ar1_volumen"].mae < got[1, "ar1"].mae
+
+
+def test_each_model_has_its_own_thresholds(spark):
+    rng = random.Random(1)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    rows = [(k, 1, day(i), rng.randint(900, 1100), rng.randint(50, 150) if k != 4 or i < 89 else None) for k, n in ((1, 130), (2, 100), (3, 89), (4, 110)) for i in range(n)]
+    df = spark.createDataFrame(rows, "producto_id int, mercado_id int, fecha date, p bigint, m bigint")
+    got = {(r.producto_id, r.metodo): r for r in refitted(df, "p", "m", most=1000, rows=60).collect()}
+    assert set(got) == {(1, "gbm"), (1, "ar1"), (1, "ar1_volumen"), (2, "ar1"), (2, "ar1_volumen"), (4, "ar1")}
+    # The regressions begin at place 29; gbm where 60 rows have all lags, which is place 66.
+    assert got[2, "ar1"].origenes == got[2, "ar1_volumen"].origenes == 70
+    assert got[1, "ar1"].origenes == 100 and got[1, "gbm"].origenes == 63
+    y = np.array([r[3] for r in rows if r[0] == 2], float)
+    fit = lambda t: np.linalg.lstsq(np.c_[y[:t], np.ones(t)], y[1 : t + 1], rcond=None)[0]
+    assert np.isclose(got[2, "ar1"].mae, np.mean([abs(fit(t) @ [y[t], 1] - y[t + 1]) for t in range(29, 99)]))
