@@ -14,8 +14,8 @@ from lonja.operators.series import SERIES, Block, map_series
 #: Lags of the boosted trees.
 LAGS = (1, 2, 3, 5, 7)
 #: Of each model: the fewest values of a series, and the place of its first origin.
-LEAST = {"gbm": 120, "ar1": 90, "ar1_volumen": 90}
-FIRST = {"gbm": 60, "ar1": 29, "ar1_volumen": 29}
+LEAST = {"estacional": 90, "tendencia": 90, "gbm": 120, "ar1": 90, "ar1_volumen": 90}
+FIRST = {"estacional": 29, "tendencia": 29, "gbm": 60, "ar1": 29, "ar1_volumen": 29}
 
 
 def best_split(order: np.ndarray, x: np.ndarray, r: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
@@ -88,8 +88,10 @@ def origins(start: int, n: int, ahead: int, most: int) -> list[int]:
     return list(range(start, n - ahead)) if size <= most else [start + k * size // most for k in range(most)]
 
 
-def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int = 60, rows: int = 30, models: Sequence[str] = ("gbm", "ar1", "ar1_volumen"), keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
-    """keys, metodo, mae, origenes of models that are fitted anew at each origin: `gbm`, `ar1`, `ar1_volumen`.
+def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int = 60, rows: int = 30, models: Sequence[str] = ("gbm", "ar1", "ar1_volumen"), keys: Sequence[str] = SERIES, order: str = "fecha", final: bool = False) -> DataFrame:
+    """keys, metodo, mae, origenes of models that are fitted anew at each origin: `gbm`, `ar1`, `ar1_volumen`;
+    `estacional` and `tendencia` are those of windows.forecasts. final: also sigma, the population deviation
+    of the signed errors, and punto, the forecast `ahead` median steps after the last date.
 
     A model leaves out series of fewer values than its LEAST, ar1_volumen also those of fewer than 90
     volumes, and gbm origins with fewer than `rows` rows to fit to; origins are chosen from its FIRST on.
@@ -97,7 +99,7 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int =
     """
 
     def kernel(b: Block) -> dict[str, np.ndarray]:
-        out: dict[str, list] = {k: [] for k in (*keys, "metodo", "mae", "origenes")}
+        out: dict[str, list] = {k: [] for k in (*keys, "metodo", "mae", "origenes", "sigma", "punto")}
         for s, e in zip(b.starts, b.ends):
             there = ~np.isnan(b["_y"][s:e])
             y, day, m = b["_y"][s:e][there], b[order][s:e][there].astype(np.int64), b["_m"][s:e][there]
@@ -106,9 +108,12 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int =
             if not able:
                 continue
             first, last = (int(str(np.datetime64(int(d), "D"))[:4]) for d in (day[0], day[-1]))
+            step = max(1, round(float(np.median(np.diff(day)))))
+            later = day[-1] + step * np.arange(1, ahead + 1)
+            last = max(last, int(str(np.datetime64(int(later[-1]), "D"))[:4]))
             off = np.array([d.toordinal() - 719163 for d in holidays(first, last + 1)])
-            x = features(y, day, ahead, off)
-            known = ~np.isnan(x).any(1)
+            x = features(np.r_[y, np.full(ahead, np.nan)], np.r_[day, later], ahead, off)
+            known = ~np.isnan(x[:n]).any(1)
             have = ~np.isnan(m)
             if have.sum() >= 90:
                 at = np.maximum.accumulate(np.where(have, np.arange(n), -1))
@@ -118,8 +123,13 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int =
 
             def made(name: str, t: int) -> float | None:
                 if name == "gbm":
-                    fit = known & (np.arange(n) <= t)
-                    return boosted(x[fit], y[fit], x[t + ahead]) if fit.sum() >= rows else None
+                    fit = np.flatnonzero(known & (np.arange(n) <= t))
+                    return boosted(x[fit], y[fit], x[t + ahead]) if len(fit) >= rows else None
+                if name == "estacional":
+                    return float(y[t - 4])
+                if name == "tendencia":
+                    w = y[t - 4 : t + 1]
+                    return float(w.mean() + np.dot(w, (-2, -1, 0, 1, 2)) / 10 * (2 + ahead))
                 with_m = name == "ar1_volumen"
                 cols = [y[: t + 1 - ahead], *[m[: t + 1 - ahead]] * with_m, np.ones(t + 1 - ahead)]
                 w = np.linalg.lstsq(np.stack(cols, 1), y[ahead : t + 1], rcond=None)[0]
@@ -128,17 +138,19 @@ def refitted(df: DataFrame, value: str, volume: str, ahead: int = 1, most: int =
             for name in able:
                 first_origin = max(FIRST[name], LAGS[-1] + ahead - 1) if name == "gbm" else FIRST[name]
                 guesses = [(made(name, t), y[t + ahead]) for t in origins(first_origin, n, ahead, most)]
-                es = [abs(g - real) for g, real in guesses if g is not None]
+                es = [g - real for g, real in guesses if g is not None]
                 if es:
                     for k in keys:
                         out[k].append(b[k][s])
                     out["metodo"].append(name)
-                    out["mae"].append(float(np.mean(es)))
+                    out["mae"].append(float(np.mean(np.abs(es))))
                     out["origenes"].append(len(es))
-        return {k: np.array(v, object if k == "metodo" else None) for k, v in out.items()}
+                    out["sigma"].append(float(np.std(es)))
+                    out["punto"].append(made(name, n - 1) if final else None)
+        return {k: np.array(v, object if k == "metodo" else float if k == "punto" else None) for k, v in out.items()}
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", metodo string, mae double, origenes bigint"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", metodo string, mae double, origenes bigint" + ", sigma double, punto double" * final
     present = F.col(order).isNotNull()
     for k in keys:
         present &= F.col(k).isNotNull()

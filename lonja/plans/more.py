@@ -10,6 +10,7 @@ from lonja.functions.questions import numbers
 from lonja.functions.text import slug, tokens
 from lonja.operators import retrieval, windows
 from lonja.operators.index import closed, hashed
+from lonja.operators.models import compared, forecasted
 from lonja.operators.series import SERIES
 from lonja.plans.general import KEY
 from lonja.plans.reference import _MAE, METHODS, PX, W, _asked, _walk_sql, px
@@ -160,6 +161,24 @@ def _(spark, d):
     return rows.groupBy("metodo").agg(F.count("*").alias("series"), (F.sum(F.floor(F.col("mae") * 1000 + 0.5).cast("bigint")).cast("double") / F.count("*") / 1000).alias("mae"))
 
 
+@query("a15_compared")
+def _(spark, d):
+    """Families of models one and seven steps ahead: their errors, ranking and winner."""
+    return compared(px(spark, d), "p", "m", 1).unionByName(compared(px(spark, d), "p", "m", 7))
+
+
+@query("w20_forecasted")
+def _(spark, d):
+    """The best model of each series and its forecast, one and seven steps ahead."""
+    return forecasted(px(spark, d), "p", "m", 1).unionByName(forecasted(px(spark, d), "p", "m", 7))
+
+
+@query("a12_methods")
+def _(spark, d):
+    """For how many series each model was chosen."""
+    return QUERIES["w20_forecasted"](spark, d).groupBy("h", "metodo").agg(F.count("*").alias("series"))
+
+
 @query(
     "j09_co_movers",
     f"""WITH {PX}, v AS (SELECT producto_id, mercado_id, printf('%d-W%02d', isoyear(fecha), week(fecha)) AS semana, arg_min(p, fecha) AS abre, arg_max(p, fecha) AS cierra, count(*) AS n FROM px WHERE p IS NOT NULL GROUP BY ALL),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lonja.functions.text import normalised, slug
 from lonja.operators import windows
+from lonja.operators.models import forecasted
 from lonja.operators.series import SERIES
-from lonja.plans.reference import METHODS, px
+from lonja.plans.reference import px
 from lonja.session import table
 
 
@@ -93,11 +94,9 @@ class Service:
         return rows.orderBy(F.desc(F.abs("z")), "producto_id").limit(max(1, limit))
 
     def forecast(self, name: str, ahead: int = 1) -> DataFrame:
-        """The method that did best on the product so far, with its mean error and that of the plain one."""
+        """The forecast of the model that did best on the product so far, with its mean error and that of the plain one."""
         rows = self.prices().where(F.col("producto_id") == self.product(name))
-        errors = windows.walk_forward(windows.forecasts(rows, "p", ahead), METHODS, ahead=ahead)
-        best = errors.groupBy(*SERIES).agg(F.min(F.struct("mae", "metodo")).alias("b"), F.max(F.when(F.col("metodo") == "estacional", F.col("mae"))).alias("mae_base"))
-        return best.select(*SERIES, "b.metodo", "b.mae", "mae_base", (F.col("b.mae") < F.col("mae_base")).alias("mejora"))
+        return forecasted(rows, "p", "m", ahead).withColumn("mejora", F.col("mae") < F.col("mae_base"))
 
     def markets(self) -> DataFrame:
         """The products of every other market on its own last day."""
