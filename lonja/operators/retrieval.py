@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.text import tokens
@@ -20,12 +21,13 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "largo", F.explode("_t").alias("token")).groupBy("token", key, "largo").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query, key, bm25, rango: the k texts that best match each question.
 
     Okapi weights with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over distinct tokens of a question.
     Ranked by score in steps of 1e-9, then key. Only tokens of questions are joined, and each task
-    keeps the best k of its texts for each question before the shuffle.
+    keeps the best k of its texts for each question before the shuffle. allowed keeps those of the
+    rows (query, key) that may be found; N, df and the mean length stay those of all texts.
     """
     post = postings(docs, key, text)
     size = docs.agg(F.count("*").alias("_docs"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("_mean"))
@@ -41,28 +43,107 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, q
     # Scores are added as whole numbers of 1e-9, so that their order does not matter.
     scored = hits.select("token", key, F.floor(part * 1e9 + 0.5).cast("bigint").alias("_s")).join(asked, "token")
     total = scored.groupBy(query, key).agg(F.sum("_s").alias("_s"))
+    total = allowed(total) if allowed else total
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_s"), key))
     return total.withColumn("rango", rank).where(F.col("rango") <= k).select(query, key, (F.col("_s") / 1e9).alias("bm25"), "rango")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, asked: str, k: int = 10, block: int = 2048, step: float = 1e-5) -> DataFrame:
+#: Columns of a filter, each null where it asks for nothing, and those of a text that it is put to.
+FILTER = ("slugs", "tipos", "desde", "hasta")
+TEXT = ("slug", "tipo", "fecha_inicio", "fecha_fin")
+
+
+def dated() -> Column:
+    """Whether a text's days overlap those of a filter; days that are not known do."""
+    return (F.col("desde").isNull() | F.col("fecha_fin").isNull() | (F.col("fecha_fin") >= F.col("desde"))) & (F.col("hasta").isNull() | F.col("fecha_inicio").isNull() | (F.col("fecha_inicio") <= F.col("hasta")))
+
+
+def accepts() -> Column:
+    """Whether a row's text (TEXT) passes its filter (FILTER)."""
+    among = lambda c, of: F.col(of).isNull() | F.coalesce(F.array_contains(of, F.col(c)), F.lit(False))
+    return among("slug", "slugs") & among("tipo", "tipos") & dated()
+
+
+def _accepted(b: pa.RecordBatch, r: int) -> np.ndarray:
+    """`accepts` of the queries and texts of a row of blocks."""
+    slugs, tipos, desde, hasta = (b.column(f"_{c}")[r].values for c in FILTER)
+    slug, tipo, first, last = (b.column(f"_{c}")[r].values for c in TEXT)
+    ok = np.ones((len(slugs), len(slug)), bool)
+    for i in range(len(slugs)):
+        for asked, held in ((slugs[i], slug), (tipos[i], tipo)):
+            if asked.is_valid:
+                ok[i] &= pc.is_in(held, value_set=asked.values.drop_null()).to_numpy(zero_copy_only=False)
+        for bound, held, test in ((desde[i], last, pc.greater_equal), (hasta[i], first, pc.less_equal)):
+            if bound.is_valid:
+                ok[i] &= pc.fill_null(test(held, bound), True).to_numpy(zero_copy_only=False)
+    return ok
+
+
+def relaxed(asked: DataFrame, docs: DataFrame, query: str) -> DataFrame:
+    """The questions with their filters; where a filter leaves no text, it asks for nothing."""
+    kinds = docs.select(*TEXT).distinct()
+    named = asked.where("slugs IS NOT NULL").select(query, *FILTER, F.explode("slugs").alias("slug")).join(kinds, "slug").where(accepts()).select(query)
+    open_ones = asked.where("slugs IS NULL")
+    # Of filters without product there are as many as kinds and dates; so there are of texts without theirs.
+    filters = open_ones.select(*FILTER[1:]).distinct()
+    days = kinds.select(*TEXT[1:]).distinct()
+    live = filters.crossJoin(days).withColumns({"slugs": F.lit(None).cast("array<string>"), "slug": F.lit(None).cast("string")}).where(accepts()).select(*FILTER[1:]).distinct()
+    same = [open_ones[c].eqNullSafe(live[c]) for c in FILTER[1:]]
+    passing = named.unionByName(open_ones.join(live, same[0] & same[1] & same[2], "left_semi").select(query)).distinct().withColumn("_ok", F.lit(True))
+    rows = asked.join(passing, query, "left")
+    return rows.select(*[c for c in asked.columns if c not in FILTER], *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in FILTER])
+
+
+def floor(asked: DataFrame, docs: DataFrame, query: str, key: str, budget: int = 14, periods: int = 4, odd: int = 3, days: int = 3) -> DataFrame:
+    """query, key, rango: the texts that an answer rests on, whatever is found.
+
+    asked: query, productos (slugs that it names, null for none), desde, hasta. The budget is shared
+    by the products: of each its profile, latest periods and latest anomalies; if the question has
+    dates, the periods within them first, then profile, other periods and anomalies. Without product,
+    the latest market days, within the dates if there are any.
+    """
+    has_dates = F.col("desde").isNotNull() | F.col("hasta").isNotNull()
+    kinds = F.array(*map(F.lit, ("producto_perfil", "producto_periodo", "evento_anomalia")))
+    named = asked.where("productos IS NOT NULL").select(query, "desde", "hasta", F.explode("productos").alias("slug"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.size("productos"))).alias("_cupo"))
+    texts = docs.where(F.array_contains(kinds, F.col("tipo"))).select(key, *TEXT)
+    wanted = named.select("slug", "desde", "hasta").distinct()
+    within = (F.col("tipo") == "producto_periodo") & has_dates & dated()
+    group = F.when(within, 0).when(F.col("tipo") == "producto_perfil", 1).when(F.col("tipo") == "producto_periodo", 2).otherwise(3)
+    own = Window.partitionBy("slug", "desde", "hasta")
+    latest = [F.desc_nulls_last(F.when(F.col("_g") != 1, F.col("fecha_fin"))), key]
+    picked = wanted.join(texts, "slug").withColumn("_g", group)
+    picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy("slug", "desde", "hasta", "_g").orderBy(*latest)))
+    picked = picked.where(F.col("_n") <= F.when(F.col("_g") == 2, periods).when(F.col("_g") == 3, odd).otherwise(budget))
+    picked = picked.withColumn("_p", F.row_number().over(own.orderBy("_g", "_n"))).where(F.col("_p") <= budget)
+    picked = picked.select(F.col("slug").alias("_slug"), F.col("desde").alias("_a"), F.col("hasta").alias("_z"), key, "_p")
+    held = named.join(picked, (F.col("slug") == F.col("_slug")) & F.col("desde").eqNullSafe(F.col("_a")) & F.col("hasta").eqNullSafe(F.col("_z"))).where("_p <= _cupo")
+    of_products = held.select(query, key, F.row_number().over(Window.partitionBy(query).orderBy("slug", "_p")).alias("rango"))
+    bare = asked.where("productos IS NULL").select(query, "desde", "hasta")
+    market = bare.select("desde", "hasta").distinct().crossJoin(docs.where("tipo = 'mercado_dia'").select(key, *TEXT)).where(dated())
+    market = market.withColumn("rango", F.row_number().over(Window.partitionBy("desde", "hasta").orderBy(F.desc_nulls_last("fecha_fin"), key))).where(F.col("rango") <= days).select(F.col("desde").alias("_a"), F.col("hasta").alias("_z"), key, "rango")
+    of_days = bare.join(market, F.col("desde").eqNullSafe(F.col("_a")) & F.col("hasta").eqNullSafe(F.col("_z"))).select(query, key, "rango")
+    return of_products.unionByName(of_days)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, asked: str, k: int = 10, block: int = 2048, step: float = 1e-5, filtered: bool = False) -> DataFrame:
     """query, key, coseno, rango: the k vectors of greatest inner product with each query vector, exactly.
 
     A stated query set against all rows, in blocks: both sides are packed into blocks of about `block`
     vectors, each two blocks are multiplied as matrices, and only the best k of a block for each query
     leave the task. coseno is the product in steps of `step`; ties go to the smaller key. Rows with a
-    null key or vector are left out; lengths must agree.
+    null key or vector are left out; lengths must agree. filtered: vectors have the columns of a text
+    and queries those of a filter as in `accepts`, and only texts that a query's filter accepts count.
     """
     kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
 
-    def blocks(df: DataFrame, of: str, what: str, names: tuple[str, str, str]) -> DataFrame:
-        rows = df.where(F.col(what).isNotNull() & F.col(of).isNotNull()).select(F.col(of), F.col(what).cast("array<double>").alias("_v"))
+    def blocks(df: DataFrame, of: str, what: str, names: tuple[str, str, str], more: tuple[str, ...]) -> DataFrame:
+        rows = df.where(F.col(what).isNotNull() & F.col(of).isNotNull()).select(F.col(of), F.col(what).cast("array<double>").alias("_v"), *more)
         count = max(1, -(-rows.count() // block))
         b = F.pmod(F.xxhash64(of), F.lit(count))
-        return rows.groupBy(b.alias(names[0])).agg(F.collect_list(F.struct(F.col(of).alias("i"), F.col("_v").alias("v"))).alias(names[1])).select(F.col(f"{names[1]}.i").alias(names[1]), F.flatten(f"{names[1]}.v").alias(names[2]))
+        return rows.groupBy(b.alias(names[0])).agg(F.collect_list(F.struct(F.col(of).alias("i"), F.col("_v").alias("v"), *more)).alias(names[1])).select(F.col(f"{names[1]}.i").alias(names[1]), F.flatten(f"{names[1]}.v").alias(names[2]), *[F.col(f"{names[1]}.{c}").alias(f"_{c}") for c in more])
 
-    left = blocks(queries, query, asked, ("_b", "_q", "_qv"))
-    right = blocks(vectors, key, vector, ("_b", "_k", "_kv"))
+    left = blocks(queries, query, asked, ("_b", "_q", "_qv"), FILTER if filtered else ())
+    right = blocks(vectors, key, vector, ("_b", "_k", "_kv"), TEXT if filtered else ())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,9 +153,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
                 xm = b.column("_kv")[r].values.to_numpy().reshape(len(x), -1)
                 s = np.rint(qm @ xm.T / step).astype(np.int64)
                 ids = x.to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                ok = _accepted(b, r) if filtered else np.ones(s.shape, bool)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s, ~ok), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([q.take(pa.array(row)), x.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], names=[query, key, "_s"])
+                at = np.flatnonzero(np.take_along_axis(ok, order, 1).ravel())
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(row[at])), x.take(pa.array(order.ravel()[at])), pa.array(np.take_along_axis(s, order, 1).ravel()[at])], names=[query, key, "_s"])
 
     pairs = left.repartition(F.xxhash64("_q")).crossJoin(right)
     best = pairs.mapInArrow(score, f"{query} {kinds[1]}, {key} {kinds[0]}, _s bigint")
