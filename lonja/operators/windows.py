@@ -112,6 +112,13 @@ def robust_z(df: DataFrame, value: str, history: int = 30, least: int = 6, keys:
     return map_series(df.where(present).select(*keys, order, F.col(value).cast("double").alias("_v")), kernel, schema, keys, order)
 
 
+def anomalies(df: DataFrame, values: dict[str, str], level: float = 3.5, keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
+    """keys, tipo, order, valor, z: where the robust z of a value is at least `level`; values: the column of each tipo."""
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("tipo"), F.col(c).cast("bigint").alias("valor")) for k, c in values.items()]))
+    stacked = df.select(*keys, order, parts.alias("_x")).select(*keys, "_x.tipo", order, "_x.valor")
+    return robust_z(stacked, "valor", keys=[*keys, "tipo"], order=order).where(F.abs("z") >= level)
+
+
 def forecasts(df: DataFrame, value: str, ahead: int = 1, warm: int = 30, keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
     """keys, i, n, real, estacional, tendencia, ar1: one-pass walk-forward forecasts from every origin.
 

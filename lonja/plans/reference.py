@@ -382,6 +382,29 @@ def _(spark, d):
     return hot.withColumn("rango", rank).where("rango <= 5").drop("z")
 
 
+#: What anomalies are looked for in.
+VALUES = {"precio": "p", "volumen": "m"}
+
+
+@query("w06_anomalies")
+def _(spark, d):
+    """Prices and masses far from the history of their series."""
+    return windows.anomalies(px(spark, d), VALUES)
+
+
+def top_anomalies(df: DataFrame) -> DataFrame:
+    """The five greatest of each series and tipo, and all of the last date of their market; rango tells them apart."""
+    hot = windows.anomalies(df, VALUES)
+    last = df.groupBy("mercado_id").agg(F.max("fecha").alias("_f"))
+    rank = F.row_number().over(Window.partitionBy(*SERIES, "tipo").orderBy(F.desc(F.floor(F.abs("z") * 1e6 + 0.5)), "fecha"))
+    return hot.withColumn("rango", rank).join(last, "mercado_id").where("rango <= 5 OR fecha = _f").drop("_f")
+
+
+@query("w08_featured_anomalies")
+def _(spark, d):
+    return top_anomalies(px(spark, d))
+
+
 def _walk_sql(h: int) -> str:
     return f"""y AS (SELECT producto_id, mercado_id, fecha, p AS y, row_number() OVER k - 1 AS i, count(*) OVER (PARTITION BY producto_id, mercado_id) AS n, lead(p, {h}) OVER k AS real, lag(p, {h}) OVER k AS x, lag(p, 1) OVER k AS l1, lag(p, 2) OVER k AS l2, lag(p, 3) OVER k AS l3, lag(p, 4) OVER k AS l4
   FROM px WHERE p IS NOT NULL WINDOW k AS ({W})),

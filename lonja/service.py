@@ -12,7 +12,7 @@ from lonja.functions.text import normalised, slug
 from lonja.operators import windows
 from lonja.operators.models import forecasted
 from lonja.operators.series import SERIES
-from lonja.plans.reference import px
+from lonja.plans.reference import VALUES, px
 from lonja.session import table
 
 
@@ -89,9 +89,12 @@ class Service:
         return asked.join(out, "producto_id", "left").orderBy(F.asc_nulls_last("ultimo"))
 
     def anomalies(self, limit: int = 10) -> DataFrame:
-        """The last observation of each product, where it is furthest from its history."""
-        rows = windows.latest(windows.robust_z(self.prices(), "p")).where("abs(z) >= 3.5")
-        return rows.orderBy(F.desc(F.abs("z")), "producto_id").limit(max(1, limit))
+        """The last price and the last mass of each product, where they are furthest from their history."""
+        prices = self.prices()
+        parts = [prices.where(F.col(c).isNotNull()).groupBy(*SERIES).agg(F.max("fecha").alias("fecha")).withColumn("tipo", F.lit(k)) for k, c in VALUES.items()]
+        last = parts[0].unionByName(parts[1])
+        rows = windows.anomalies(prices, VALUES).join(last, [*SERIES, "tipo", "fecha"], "left_semi")
+        return rows.orderBy(F.desc(F.abs("z")), "producto_id", "tipo").limit(max(1, limit))
 
     def forecast(self, name: str, ahead: int = 1) -> DataFrame:
         """The forecast of the model that did best on the product so far, with its mean error and that of the plain one."""
