@@ -14,7 +14,7 @@ FINE, BOUND, SPIKE, FROZEN = 0, 1, 2, 3
 class Rules:
     """low, high: physical bounds (exclusive). half: readings on each side of the rolling median.
     sigmas: rolling MADs that a spike lies from the rolling median. moves: usual moves of the series
-    (median absolute step) by which a spike leaves both neighbours. least: the smallest such log
+    (1.4826 times its median absolute step) by which a spike leaves both neighbours. least: the smallest such log
     departure, which rules for series that hardly move. longest: readings of a spike at most.
     frozen: readings of one value that make a run. repeats: share of repeated readings from which
     a series is one that moves in steps, in which runs are normal."""
