@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,13 +19,18 @@ _SHIPPED: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session inside the cluster's `spark.checkpoint.dir`.
 
-    The setting is read from the session. Only where it is unset (tests, a single
-    machine) a temporary folder takes its place. The folder is removed when the driver ends.
+    The setting is read from the session. Only where it is unset and the executors are this
+    machine's own threads (tests) a temporary folder takes its place; on a cluster each machine
+    would write to its own disk and read back a part, so there it is an error. The folder is
+    removed when the driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _SHARED:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
             base = "file://" + tempfile.mkdtemp(prefix="lonja-")
         _SHARED[app] = f"{base.rstrip('/')}/lonja-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _SHARED[app])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lonja.operators.series import holding_rows
+from lonja.session import written
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -17,23 +21,104 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+class Conflict(RuntimeError):
+    """Another writer was first, or one ended in the midst of its write."""
+
+
+def _log(spark: SparkSession, path: str):
+    """File system, and the folder of the versions of what lies at path."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__log")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _child(spark: SparkSession, folder, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name)
+
+
+def state(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The latest version of a small document and the document; (0, None) before the first."""
+    fs, folder = _log(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    last = max((int(n) for n in names if n.isdigit()), default=0)
+    if not last:
+        return 0, None
+    stream = fs.open(_child(spark, folder, f"{last:09d}"))
+    try:
+        return last, json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def swap(spark: SparkSession, path: str, seen: int, document: dict) -> int:
+    """Compare and swap: write the version after `seen`, unless another writer already has (Conflict).
+
+    The file of a version is made only if there is none, which the file system decides.
+    """
+    fs, folder = _log(spark, path)
+    fs.mkdirs(folder)
+    try:
+        out = fs.create(_child(spark, folder, f"{seen + 1:09d}"), False)
+    except Exception as e:
+        raise Conflict(f"version {seen + 1} of {path} exists") from e
+    out.write(bytearray(json.dumps(document).encode()))
+    out.close()
+    return seen + 1
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Carry out what the last writer had decided on but not ended; nothing if it had."""
+    last, plan = state(spark, path)
+    fs, folder = _log(spark, path)
+    if not plan or fs.exists(_child(spark, folder, f"{last:09d}.done")):
+        return
+    known = spark.read.parquet(plan["staged"]).schema
+    # Months are text, whatever the names of the folders look like.
+    schema = StructType([StructField(f.name, StringType()) if f.name == "mes" else f for f in known])
+    fresh = spark.read.schema(schema).parquet(plan["staged"])
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes").parquet(path)
+    for month in plan["emptied"]:
+        fs.delete(_child(spark, _child(spark, folder.getParent(), path.rstrip("/").rsplit("/", 1)[-1]), f"mes={month or '__HIVE_DEFAULT_PARTITION__'}"), True)
+    fs.create(_child(spark, folder, f"{last:09d}.done"), True).close()
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plan["staged"]), True)
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], version: str, date: str) -> None:
     """Bring rows into the table at path: of each key the latest version holds, whatever the order of arrival.
 
-    The table is partitioned by the month of `date`; only the months that rows touch are read and
-    written again, so a run costs what it changes. The same rows twice change nothing.
+    The table is partitioned by the month of `date` (null dates have a partition of their own); only
+    the months that rows touch are read and written again, so a run costs what it changes. A key whose
+    date has moved to another month is taken out of the old one; where the date is part of the key it
+    can't move, else the table's keys are searched for it. The same rows twice change nothing.
+
+    The new months are staged first; then the run becomes the table's next version by `swap`, and only
+    then is the table changed. A run that another one overtook raises Conflict and has changed nothing.
+    A run that ended in between is carried out by `finish`, without which later runs raise Conflict.
     """
-    rows = rows.withColumn("mes", F.date_format(date, "yyyy-MM"))
-    if exists(spark, path):
-        months = [r.mes for r in rows.select("mes").distinct().collect()]  # a run touches few months
-        old = spark.read.schema(rows.schema).parquet(path).where(F.col("mes").isin(months))
-        rows = old.unionByName(rows)
-    columns = [c for c in rows.columns if c not in keys and c != version]
-    merged = holding_rows(rows, keys, version, [version, *columns])
-    staged = f"{path.rstrip('/')}__staged"
-    merged.write.mode("overwrite").partitionBy("mes").parquet(staged)
-    fresh = spark.read.schema(merged.schema).parquet(staged)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes").parquet(path)
+    seen, _ = state(spark, path)
+    fs, log = _log(spark, path)
+    if seen and not fs.exists(_child(spark, log, f"{seen:09d}.done")):
+        raise Conflict(f"version {seen} of {path} is not carried out; finish() does that")
+    rows = written(rows.withColumn("mes", F.date_format(date, "yyyy-MM")), "incoming")
+    touched = rows.select("mes")
+    old = spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else rows.limit(0)
+    if date not in keys:
+        asked = rows.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).distinct()
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= old[k].eqNullSafe(asked[f"_{i}"])
+        touched = touched.unionByName(old.join(asked, same, "left_semi").select("mes"))
+    months = {r.mes for r in touched.distinct().collect()}  # a run touches few months
+    here = F.col("mes").isin(*[m for m in months if m]) | (F.col("mes").isNull() & F.lit(None in months))
+    merged = holding_rows(old.where(here).unionByName(rows), keys, version, [version, *[c for c in rows.columns if c not in keys and c != version]])
+    staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    merged.write.partitionBy("mes").parquet(staged)
+    kept = {r.mes for r in spark.read.schema(merged.schema).parquet(staged).select("mes").distinct().collect()}
+    try:
+        swap(spark, path, seen, {"staged": staged, "emptied": sorted(months - kept, key=str)})
+    except Conflict:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged), True)
+        raise
+    finish(spark, path)
 
 
 def insert_new(known: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

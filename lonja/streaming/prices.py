@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lonja.sources.store import upsert
+from lonja.sources.store import finish, upsert
 
 
 def once_each(stream: DataFrame, keys: Sequence[str], at: str, late: str = "5 days") -> DataFrame:
@@ -20,9 +20,13 @@ def once_each(stream: DataFrame, keys: Sequence[str], at: str, late: str = "5 da
 
 
 def upserted(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], version: str, date: str) -> StreamingQuery:
-    """Bring what there is of a stream into a table; a batch that is run again changes nothing."""
+    """Bring what there is of a stream into a table; a batch that is run again changes nothing.
+
+    The checkpoint makes the stream the table's one writer, so what an earlier run left undone is done first.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
+        finish(df.sparkSession, path)
         upsert(df.sparkSession, path, df, keys, version, date)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,53 @@ def test_calendar(spark):
 @pytest.mark.parametrize("held, v, z", [([1, 1, 1, 1], 1, None), ([1, 1, 1, 1], 2, 99.0), ([1, 1, 1, 5], 5, (5 - 1) / (3**0.5))])
 def test_score(held, v, z):
     assert prices.score(held, v) == pytest.approx(z) if z is not None else prices.score(held, v) is None
+
+
+def test_upserts_keep_null_dates_and_move_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda *rows: spark.createDataFrame([(k, f, v, dt.datetime(2024, 2, 1, h)) for k, f, v, h in rows], SCHEMA)
+    january, march = dt.date(2024, 1, 30), dt.date(2024, 3, 2)
+    got = lambda: sorted((r.k, r.fecha, r.v) for r in spark.read.parquet(path).collect())
+    store.upsert(spark, path, make((1, None, 1.0, 1), (2, january, 2.0, 1)), ["k"], "at", "fecha")
+    store.upsert(spark, path, make((3, None, 3.0, 2)), ["k"], "at", "fecha")
+    assert got() == [(1, None, 1.0), (2, january, 2.0), (3, None, 3.0)]
+    store.upsert(spark, path, make((2, march, 4.0, 3)), ["k"], "at", "fecha")  # empties January
+    store.upsert(spark, path, make((1, march, 5.0, 4), (2, january, 2.0, 1)), ["k"], "at", "fecha")
+    assert got() == [(1, march, 5.0), (2, march, 4.0), (3, None, 3.0)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "t__log"]
+
+
+def test_compare_and_swap(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert store.state(spark, path) == (0, None)
+    assert store.swap(spark, path, 0, {"a": 1}) == 1 and store.state(spark, path) == (1, {"a": 1})
+    with pytest.raises(store.Conflict):
+        store.swap(spark, path, 0, {"a": 2})
+    assert store.swap(spark, path, 1, {"a": 2}) == 2 and store.state(spark, path) == (2, {"a": 2})
+
+
+def test_a_run_that_ended_midway_is_finished(spark, tmp_path):
+    path, staged = str(tmp_path / "t"), str(tmp_path / "s")
+    store.upsert(spark, path, spark.createDataFrame([row(1, 0, 1.0, 1)], SCHEMA), ["k", "fecha"], "at", "fecha")
+    spark.createDataFrame([row(1, 0, 9.0, 2)], SCHEMA).selectExpr("*", "'2024-01' mes").write.partitionBy("mes").parquet(staged)
+    store.swap(spark, path, 1, {"staged": staged, "emptied": []})
+    with pytest.raises(store.Conflict):
+        store.upsert(spark, path, spark.createDataFrame([row(2, 0, 1.0, 1)], SCHEMA), ["k", "fecha"], "at", "fecha")
+    store.finish(spark, path)
+    store.upsert(spark, path, spark.createDataFrame([row(2, 0, 1.0, 1)], SCHEMA), ["k", "fecha"], "at", "fecha")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 9.0), (2, 1.0)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lonja import session
+
+    for master, fine in (("spark://host:7077", False), ("local-cluster[2,1,1024]", False), ("yarn", False), ("local[4]", True), ("local", True)):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(applicationId=master, master=master), conf=SimpleNamespace(get=lambda *_: None))
+        if fine:
+            assert session.shared_folder(fake).startswith("file://")
+        else:
+            with pytest.raises(ValueError):
+                session.shared_folder(fake)
+        session._SHARED.pop(master, None)
