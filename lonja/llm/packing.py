@@ -80,16 +80,16 @@ def containers(
     """key, parte, inicio, size, contenedor: every item in a container.
 
     An item larger than `capacity` alone is split into parts of `capacity` and a rest; no other is.
-    Items of size 0 (null counts as 0) take the tightest container too. Items are spread by hash
-    over shards of about `shard_items`, each packed by best fit decreasing; what lies in containers
-    filled below `loose` is packed once more, over fewer shards, until one shard is left or nothing
-    is gained. A shard has about `shard_items` items at any corpus size, whatever the sizes are.
+    Items of size 0 (null counts as 0) take the tightest container too. Items are spread by their
+    place in the input, so those with null or repeated keys are too, over shards of about `shard_items`,
+    each packed by best fit decreasing; what lies in containers filled below `loose` is packed once
+    more, over fewer shards, until one shard is left or nothing is gained. A shard has about `shard_items` items at any corpus size, whatever the sizes are.
     Repeated rows are items of their own. Empty input: empty result.
     """
     whole = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint")
     parts = sizes.select(key, whole.alias("_n")).select(key, "_n", F.posexplode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / capacity).cast("int") - 1, F.lit(0)))).alias("parte", "_p"))
     inicio = F.col("parte").cast("bigint") * capacity
-    items = parts.select(key, "parte", inicio.alias("inicio"), F.least(F.col("_n") - inicio, F.lit(capacity)).alias(size))
+    items = parts.select(key, "parte", inicio.alias("inicio"), F.least(F.col("_n") - inicio, F.lit(capacity)).alias(size), F.monotonically_increasing_id().alias("_row"))
     items = written(items, "items")
     kind = dict(sizes.dtypes)[key]
     done: list[DataFrame] = []
@@ -104,7 +104,7 @@ def containers(
             break
         full = F.col("_fill") >= loose * capacity
         done.append(packed.where(full))
-        items, before, level = packed.where(~full).select(key, "parte", "inicio", size), shards, level + 1
+        items, before, level = packed.where(~full).select(key, "parte", "inicio", size, "_row"), shards, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -142,6 +142,6 @@ def _packed(items: DataFrame, key: str, kind: str, size: str, capacity: int, sha
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    shard = F.pmod(F.xxhash64(key, "parte", F.lit(level)), F.lit(shards)).cast("int")
-    spread = items.withColumn("_shard", shard).repartition(shards, "_shard").sortWithinPartitions("_shard", F.desc(size), key, "parte")
-    return spread.mapInArrow(pack, f"{key} {kind}, parte int, inicio bigint, {size} bigint, contenedor bigint, _fill bigint")
+    shard = F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(shards)).cast("int")
+    spread = items.withColumn("_shard", shard).repartition(shards, "_shard").sortWithinPartitions("_shard", F.desc(size), key, "parte", "_row")
+    return spread.mapInArrow(pack, f"{key} {kind}, parte int, inicio bigint, {size} bigint, _row bigint, contenedor bigint, _fill bigint")

@@ -22,8 +22,12 @@ FOLDER = os.environ.get("LONJA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text into the words that byte pair merges stay within,
 #: with Unicode white space (U) as the tokenizer has it.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longest word, in characters, in the table of frequent words; longer ones join by key at any frequency.
+#: Longest word, in characters, in the table of frequent words; longer frequent ones join by key and salt.
 LONGEST = 64
+#: Parts that the rows of a long frequent word are spread over.
+SALTS = 64
+#: Key of a text in joins: 128 bits of hash over key and text, so that no two of even 10^12 texts meet.
+TEXT = ["_h", "_g"]
 
 
 def read_ranks(name: str = "byte_bpe_50k", folder: str = FOLDER) -> dict[bytes, int]:
@@ -74,15 +78,18 @@ def numbered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 def parts(docs: DataFrame, key: str, text: str, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """(texts, rare): what is known of each text by its frequent words, and the ids of its rare ones.
 
-    texts: key, _h (hash of key and text), ids, cola. A frequent word stands in ids by its own ids; the
+    texts: key, _h, _g (hash of key and text), ids, cola. A frequent word stands in ids by its own ids; the
     k-th rare word of the text (from 0) by -1 - k, and its string in cola. Frequent words have at least
     SHARE of all occurrences, so there are at most 1 / SHARE of them, each of up to LONGEST characters:
-    that table goes to every task. rare: _h, k, ids, by a join of the words of cola with the table of
-    distinct words; none of them has a large share of the corpus unless it is longer than LONGEST.
+    that table goes to every task. rare: _h, _g, k, ids, by a join of the words of cola with the table of
+    distinct words. The rows of a frequent word that is longer (a ruled line) are spread over SALTS parts,
+    to each of which the word's ids go; which words those are is told by at most 1 / SHARE hashes.
     """
     table = encoded_words(docs, text, name, folder)
     total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = (F.col("n") >= max(1.0, total * SHARE)) & (F.length("word") <= LONGEST)
+    often = F.col("n") >= max(1.0, total * SHARE)
+    frequent = often & (F.length("word") <= LONGEST)
+    long_ones = [r[0] for r in table.where(often & ~frequent).select(F.xxhash64("word")).limit(int(1 / SHARE) + 1).collect()]
     head = table.where(frequent).select("word", "ids").orderBy("word").limit(int(1 / SHARE) + 1).collect()
     known = docs.sparkSession.sparkContext.broadcast(([r.word for r in head], [r.ids for r in head]))
 
@@ -107,13 +114,19 @@ def parts(docs: DataFrame, key: str, text: str, name: str, folder: str) -> tuple
             got = np.where(rare[of], -1 - turn[of], got)
             ids = lists(got, np.bincount(doc, size, b.num_rows).astype(np.int64))
             tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_of)].astype(np.int32)), flat.filter(pa.array(rare)))
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("_h"), ids, tail], names=[key, "_h", "ids", "cola"])
+            yield pa.RecordBatch.from_arrays([b.column(key), *(b.column(c) for c in TEXT), ids, tail], names=[key, *TEXT, "ids", "cola"])
 
     kind = dict(docs.dtypes)[key]
-    split = docs.select(F.col(key), F.xxhash64(key, text).alias("_h"), words(text).alias("_w"))
-    texts = written(split.mapInArrow(look_up, f"{key} {kind}, _h bigint, ids array<int>, cola array<string>"), "texts")
-    rare = texts.where(F.size("cola") > 0).select("_h", F.posexplode("cola").alias("k", "word")).join(table.where(~frequent).select("word", "ids"), "word")
-    return texts, rare.select("_h", "k", "ids")
+    split = docs.select(F.col(key), F.xxhash64(key, text).alias("_h"), F.xxhash64(F.lit(1), text, key).alias("_g"), words(text).alias("_w"))
+    texts = written(split.mapInArrow(look_up, f"{key} {kind}, _h bigint, _g bigint, ids array<int>, cola array<string>"), "texts")
+    tail = texts.where(F.size("cola") > 0).select(*TEXT, F.posexplode("cola").alias("k", "word"))
+    rest, on = table.where(~frequent).select("word", "ids"), ["word"]
+    if long_ones:
+        spread_out = (F.length("word") > LONGEST) & F.xxhash64("word").isin(long_ones)
+        tail = tail.withColumn("_part", F.when(spread_out, F.pmod(F.hash(*TEXT, "k"), F.lit(SALTS))).otherwise(0))
+        rest = rest.withColumn("_part", F.explode(F.when(spread_out, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on.append("_part")
+    return texts, tail.join(rest, on).select(*TEXT, "k", "ids")
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -125,8 +138,8 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
     """
     texts, rare = parts(docs, key, text, name, folder)
     whole = texts.where(F.size("cola") == 0).select(key, "ids")
-    open_ = texts.where(F.size("cola") > 0).select(key, "_h", F.lit(-1).alias("k"), "ids")
-    rows = open_.unionByName(rare.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), "_h", "k", "ids"))
+    open_ = texts.where(F.size("cola") > 0).select(key, *TEXT, F.lit(-1).alias("k"), "ids")
+    rows = open_.unionByName(rare.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), *TEXT, "k", "ids"))
 
     def fill(b: Block) -> dict[str, pa.Array | pa.ChunkedArray]:
         k, series = b["k"], b.series
@@ -149,7 +162,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
         return {key: b.columns.column(key).take(pa.array(text_row)), "ids": pa.chunked_array([lists(got, count)])}
 
     out = StructType([StructField(key, docs.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
-    return whole.unionByName(map_series(rows, fill, out, keys=["_h"], order="k"))
+    return whole.unionByName(map_series(rows, fill, out, keys=TEXT, order="k"))
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -159,9 +172,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     """
     texts, rare = parts(docs, key, text, name, folder)
     # Identical repeated rows add up to a multiple, as many times as their first rare word comes.
-    sums = rare.groupBy("_h").agg((F.sum(F.size("ids")) / F.count_if(F.col("k") == 0)).cast("bigint").alias("_s"))
+    sums = rare.groupBy(*TEXT).agg((F.sum(F.size("ids")) / F.count_if(F.col("k") == 0)).cast("bigint").alias("_s"))
     own = F.size("ids") - F.size("cola")
-    return texts.select(key, "_h", own.alias("_o")).join(sums, "_h", "left").select(key, (F.col("_o") + F.coalesce("_s", F.lit(0))).cast("bigint").alias("tokens"))
+    return texts.select(key, *TEXT, own.alias("_o")).join(sums, TEXT, "left").select(key, (F.col("_o") + F.coalesce("_s", F.lit(0))).cast("bigint").alias("tokens"))
 
 
 def repeated(b: Block) -> np.ndarray:
@@ -178,7 +191,7 @@ def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = FOLDER
 def decoded(encoded: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """key, text of each list of ids, by a join of ids with pieces. Unknown ids raise no error and give no text."""
     spark = encoded.sparkSession
-    rows = encoded.select(key, F.xxhash64(key, "ids").alias("_h"), F.posexplode("ids").alias("pos", "id"))
+    rows = encoded.select(key, F.xxhash64(key, "ids").alias("_h"), F.xxhash64(F.lit(1), "ids", key).alias("_g"), F.posexplode("ids").alias("pos", "id"))
     found = rows.join(F.broadcast(pieces(spark, name, folder)), "id")
 
     def join(b: Block) -> dict[str, pa.ChunkedArray]:
@@ -188,4 +201,4 @@ def decoded(encoded: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k",
 
     out = StructType([StructField(key, encoded.schema[key].dataType), StructField("text", StringType())])
     empty = encoded.where(F.size("ids") == 0).select(key, F.lit("").alias("text"))
-    return map_series(found.drop("id"), join, out, keys=["_h"], order="pos").unionByName(empty)
+    return map_series(found.drop("id"), join, out, keys=TEXT, order="pos").unionByName(empty)

@@ -67,3 +67,10 @@ def test_empty_and_repeated(spark):
     out = containers(df, capacity=100).collect()
     assert sorted((str(r.doc_id), r.tokens) for r in out) == [("1", 60), ("1", 60), ("None", 10)] and len({r.contenedor for r in out}) == 2
     assert containers(df.limit(0), capacity=100).count() == 0
+
+
+def test_null_keys_are_spread_over_the_shards(spark):
+    df = spark.createDataFrame([(None, 30)] * 2000, "doc_id bigint, tokens bigint")
+    out = containers(df, capacity=100, shard_items=100).collect()
+    assert len(out) == 2000 and len({r.contenedor >> 32 for r in out}) > 5
+    assert max(sum(r.tokens for r in out if r.contenedor == c) for c in {r.contenedor for r in out}) <= 100

@@ -67,3 +67,10 @@ def test_repeated_rows_null_keys_and_empty_tables(spark, tokenizer):
     assert got == sorted(want, key=str)
     assert sorted((str(r.doc_id), r.tokens) for r in token_counts(df).collect()) == sorted((str(k), len(v)) for k, v in want)
     assert token_ids(df.limit(0)).count() == 0 and token_counts(df.limit(0)).count() == 0 and decoded(token_ids(df.limit(0))).count() == 0
+
+
+def test_long_frequent_words_are_spread(spark, tokenizer):
+    rows = [(i, "=" * 90 + " una " + "-" * (70 + i % 5)) for i in range(60)]
+    df = docs(spark, rows)
+    assert {r.doc_id: r.ids for r in token_ids(df).collect()} == {i: tokenizer(t) for i, t in rows}
+    assert {r.doc_id: r.tokens for r in token_counts(df).collect()} == {i: len(tokenizer(t)) for i, t in rows}
