@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence, Set
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from lonja.functions.text import normalised
+from lonja.operators.skew import join_counted
+from lonja.session import written
 
 #: Digits that recognition puts for letters.
 DIGITS = str.maketrans({"0": "o", "1": "l", "4": "a", "8": "b", "3": "e", "5": "s"})
@@ -23,61 +32,135 @@ def plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
 
 
+#: In a path: the next letter begins a word. In a query: a word of the list, or else of the aliases, ends
+#: here of which the query has the beginning only.
+BREAK, LISTED, ALIAS = "|", "\x01", "\x02"
+
+
 class Trie:
-    """Paths of characters; a node keeps the labels of the paths that end there."""
+    """Paths of letters; a node keeps the labels of the paths that end there.
 
-    def __init__(self, paths: Iterable[tuple[str, int]] = ()):
+    The edge to the first letter of a further word is told from that to the same letter within a word.
+    `ends` holds for each node whether a word of the list (1) or of the aliases (2) ends there.
+    """
+
+    def __init__(self, paths: Iterable[tuple[str, int]] = (), words: Set[str] = frozenset(), others: Set[str] = frozenset()):
         self.children: list[dict[str, int]] = [{}]
         self.labels: list[set[int]] = [set()]
+        self.ends = [0]
+        self.words, self.others = words, others
         for path, label in paths:
             self.add(path, label)
 
     def add(self, path: str, label: int) -> None:
         at = 0
-        for c in path:
-            nxt = self.children[at].get(c)
-            if nxt is None:
-                nxt = self.children[at][c] = len(self.children)
-                self.children.append({})
-                self.labels.append(set())
-            at = nxt
+        for i, word in enumerate(path.split(BREAK)):
+            for j, c in enumerate(word):
+                c = BREAK + c if i and not j else c
+                nxt = self.children[at].get(c)
+                if nxt is None:
+                    nxt = self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.labels.append(set())
+                    self.ends.append(0)
+                at = nxt
+            self.ends[at] |= (word in self.words) | (word in self.others) << 1
         self.labels[at].add(label)
 
 
+class Masks:
+    """Of a query, as bits i: where each letter stands, and what may happen at i.
+
+    soft: letter i may be wrong or superfluous; open: a letter may be missing before i; jumps: a word is
+    completed at i, by the list or by the aliases. The letters of a beginning must stand as they are.
+    """
+
+    def __init__(self, query: str):
+        self.length = len(query)
+        self.full = (1 << (len(query) + 1)) - 1
+        self.letters: dict[str, int] = {}
+        self.jumps = [0, 0]
+        self.soft, self.open = self.full >> 1, self.full
+        for i, c in enumerate(query):
+            if c in (LISTED, ALIAS):
+                self.jumps[c == ALIAS] |= 1 << i
+                self.soft &= ~(1 << i)
+                self.open &= ~(1 << i)
+            else:
+                self.letters[c] = self.letters.get(c, 0) | 1 << i
+
+    def hold(self, start: int, end: int) -> None:
+        """No errors in letters start to end."""
+        self.soft &= ~((1 << end) - (1 << start))
+        self.open &= ~((1 << end) - (1 << start + 1))
+
+
+def masks_of(query: str) -> Masks:
+    """Masks of a query in which a LISTED or ALIAS stands after the letters that it completes, and a BREAK before them.
+
+    A word of more than three letters without a BREAK before it may hold a slip.
+    """
+    letters, held = [], []
+    for piece in re.split(f"(\\{BREAK}[^{LISTED}{ALIAS}]*)", query):
+        if piece.startswith(BREAK):
+            held.append((len(letters), len(letters) + len(piece) - 1))
+        letters += piece.removeprefix(BREAK)
+    m = Masks("".join(letters))
+    for start, end in held:
+        m.hold(start, end)
+    return m
+
+
 class Automaton:
     """Levenshtein automaton (with swaps of neighbours) of one query, as bit masks.
 
     A state is a pair for each number of errors: bit i is set if i characters of the query
-    can have been read; the state before it and the last character serve the swaps.
+    can have been read; the state before it and the last character serve the swaps. At a place where
+    a word is completed, letters are read for nothing until a word ends.
     """
 
     def __init__(self, query: str, errors: int):
-        self.errors, self.length = errors, len(query)
-        self.full = (1 << (len(query) + 1)) - 1
-        self.masks: dict[str, int] = {}
-        for i, c in enumerate(query):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
-        start = tuple(((1 << (j + 1)) - 1) & self.full for j in range(errors + 1))
-        self.start = (start, (0,) * (errors + 1), "")
-
-    def step(self, state: tuple, c: str) -> tuple | None:
+        self.errors, self.masks = errors, masks_of(query)
+        start = [1]
+        for _ in range(errors):
+            start.append(start[-1] | (start[-1] & self.masks.soft) << 1)
+        self.start = (tuple(start), (0,) * (errors + 1), "")
+        self.jump = self.masks.jumps[0] | self.masks.jumps[1]
+
+    def step(self, state: tuple, c: str, ends: int = 0) -> tuple | None:
         now, before, last = state
-        mask = self.masks.get(c, 0)
-        got = (now[0] & mask) << 1
-        out = [got]
-        swap = mask & (self.masks.get(last, 0) >> 1)
-        for j in range(1, self.errors + 1):
-            low = now[j - 1]
-            got = ((now[j] & mask) << 1 | low | low << 1 | got << 1 | (before[j - 1] & swap) << 2) & self.full
+        m, jump = self.masks, self.jump
+        if c[0] == BREAK:  # a completed word ends before the next one
+            c = c[1:]
+            if jump:
+                now = tuple(r & ~jump for r in now)
+        mask = m.letters.get(c, 0)
+        soft = m.soft
+        swap = mask & (m.letters.get(last, 0) >> 1) & soft & soft >> 1
+        done = (m.jumps[0] if ends & 1 else 0) | (m.jumps[1] if ends & 2 else 0)
+        out, got = [], 0
+        for j in range(self.errors + 1):
+            r = now[j]
+            new = (r & mask) << 1
+            if jump:
+                new |= r & jump | (r & done) << 1
+            if j:
+                low = now[j - 1]
+                new |= low & m.open | (low & soft) << 1 | (got & soft) << 1 | (before[j - 1] & swap) << 2
+            got = new & m.full
             out.append(got)
         return (tuple(out), now, c) if out[-1] else None
 
     def distance(self, state: tuple) -> int | None:
         for j, r in enumerate(state[0]):
-            if r >> self.length & 1:
+            if r >> self.masks.length & 1:
                 return j
         return None
 
+    def crossed(self, state: tuple) -> tuple:
+        """The state at the beginning of a further word."""
+        return (tuple(r & ~self.jump for r in state[0]), *state[1:]) if self.jump else state
+
 
 def walk(trie: Trie, automaton: Automaton, state: tuple) -> Iterator[tuple[int, tuple]]:
     """(label, state) of each path that the automaton can still finish from."""
@@ -85,19 +168,95 @@ def walk(trie: Trie, automaton: Automaton, state: tuple) -> Iterator[tuple[int,
     while stack:
         at, s = stack.pop()
         for c, nxt in trie.children[at].items():
-            t = automaton.step(s, c)
+            t = automaton.step(s, c, trie.ends[nxt])
             if t is not None:
                 for label in trie.labels[nxt]:
                     yield label, t
                 stack.append((nxt, t))
 
 
+class Walks:
+    """The walk of many automata through one trie, side by side, as arrays."""
+
+    def __init__(self, trie: Trie):
+        self.trie = trie
+        self.count = np.array([len(c) for c in trie.children], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        edges = [(c, nxt) for cs in trie.children for c, nxt in cs.items()]
+        self.alphabet = {c: i for i, c in enumerate(sorted({c[-1] for c, _ in edges}))}
+        self.child = np.array([n for _, n in edges], np.int64)
+        self.letter = np.array([self.alphabet[c[-1]] for c, _ in edges], np.int64)
+        self.fresh = np.array([c[0] == BREAK for c, _ in edges], bool)
+        self.ends = np.array(trie.ends, np.int64)
+        self.holds = np.array([bool(x) for x in trie.labels], bool)
+
+    def within(self, queries: Sequence[str], errors: int) -> list[dict[int, int]]:
+        """Of each query (of up to 62 letters), the labels within `errors` and their least distance."""
+        out: list[dict[int, int]] = [{} for _ in queries]
+        if not queries or not len(self.child):
+            return out
+        made = [masks_of(q) for q in queries]
+        u = np.uint64
+        take = lambda f: np.array([f(m) for m in made], u)
+        letters = np.zeros((len(made), len(self.alphabet)), u)
+        for i, m in enumerate(made):
+            for c, bits in m.letters.items():
+                if c in self.alphabet:
+                    letters[i, self.alphabet[c]] = bits
+        soft, open_, full, top = take(lambda m: m.soft), take(lambda m: m.open), take(lambda m: m.full), take(lambda m: 1 << m.length)
+        by_list, by_alias = take(lambda m: m.jumps[0]), take(lambda m: m.jumps[1])
+        jump = by_list | by_alias
+        one, two = u(1), u(2)
+        q, node = np.arange(len(made)), np.zeros(len(made), np.int64)
+        now = [np.ones(len(made), u)]
+        for _ in range(errors):
+            now.append(now[-1] | (now[-1] & soft) << one)
+        before, last = [np.zeros(len(made), u)] * (errors + 1), np.zeros(len(made), u)
+        while len(q):
+            of = np.repeat(np.arange(len(q)), self.count[node])
+            edge = self.first[node][of] + np.arange(len(of)) - np.repeat(np.cumsum(self.count[node]) - self.count[node], self.count[node])
+            q, node = q[of], self.child[edge]
+            s, j = soft[q], jump[q]
+            keep_jump = np.where(self.fresh[edge], ~j, ~u(0))
+            mask = letters[q, self.letter[edge]]
+            swap = mask & (last[of] >> one) & s & (s >> one)
+            ends = self.ends[node]
+            done = np.where(ends & 1, by_list[q], u(0)) | np.where(ends & 2, by_alias[q], u(0))
+            old = [r[of] & keep_jump for r in now]
+            new: list[np.ndarray] = []
+            for e in range(errors + 1):
+                r = old[e]
+                x = (r & mask) << one | r & j | (r & done) << one
+                if e:
+                    low = old[e - 1]
+                    x |= low & open_[q] | (low & s) << one | (new[-1] & s) << one | (before[e - 1][of] & swap) << two
+                new.append(x & full[q])
+            alive = np.flatnonzero(new[-1])
+            q, node, last = q[alive], node[alive], mask[alive]
+            now, before = [x[alive] for x in new], [r[alive] for r in old]
+            for i in np.flatnonzero(self.holds[node] & ((now[-1] & top[q]) != 0)):
+                d = next(e for e, x in enumerate(now) if x[i] & top[q[i]])
+                found = out[q[i]]
+                for label in self.trie.labels[node[i]]:
+                    found[label] = min(d, found.get(label, d))
+        return out
+
+
 def edits(a: str, b: str, far: float = 1) -> float:
-    """Edit distance with swaps of neighbours; `far` is the cost of taking a key for one not beside it."""
+    """Edit distance with swaps of neighbours; `far` is the cost of taking a key for one not beside it.
+
+    A LISTED or ALIAS in a stands for one letter or more.
+    """
     prev2: list[float] = []
     prev: list[float] = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row: list[float] = [i]
+        if x in (LISTED, ALIAS):
+            for j in range(1, len(b) + 1):
+                row.append(min(row[-1] if j > 1 else far + len(b), prev[j - 1]))
+            row[0] = len(a) + len(b)
+            prev2, prev = prev, row
+            continue
         for j, y in enumerate(b, 1):
             slip = 0 if x == y else 1 if far == 1 or y in BESIDE.get(x, "") else far
             row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + slip))
@@ -129,7 +288,8 @@ class Reference:
     memory: int = 200_000  # readings whose result is kept
 
     def __post_init__(self) -> None:
-        self.known: dict[tuple[str, ...], list[Match]] = {}
+        self.known: dict[tuple[str, ...], tuple[list[Match], list[Match]]] = {}
+        self.remarks: dict[str, bool] = {}
         self.kinds: list[str] = []
         self.varieties: list[str] = []
         self.ids: dict[tuple[int, int], list[int]] = {}
@@ -146,14 +306,29 @@ class Reference:
         self.written: list[set[str]] = [set() for _ in kinds]  # ways to write a kind, blanks dropped
         self.words: set[str] = set()  # of the list itself
         self.others: set[str] = set()  # of the aliases
+        ways: list[tuple[str, int]] = []
         for kind, k in kinds.items():
             for name in (kind, *map(plain, self.aliases.get(kind, ()))):
-                for w in plurals(name):
+                for w in sorted(plurals(name)):
                     self.written[k].add(w.replace(" ", ""))
+                    ways.append((w.replace(" ", BREAK), k))
                 (self.words if name == kind else self.others).update(name.split())
         self.words.update(varieties)
-        self.kind_trie = Trie((w, k) for k, ways in enumerate(self.written) for w in sorted(ways))
-        self.variety_trie = Trie((v.replace(" ", ""), i) for i, v in enumerate(self.varieties))
+        self.sorted_words, self.sorted_others = sorted(self.words), sorted(self.others)
+        self.kind_trie = Trie(ways, self.words, self.others)
+        self.variety_trie = Trie(((v, i) for i, v in enumerate(self.varieties)), self.words, self.others)
+        # Every way to write each entry of the list; its labels are places in `pairs`.
+        self.pairs = list(self.ids)
+        by_kind: dict[int, list[str]] = {}
+        for w, k in ways:
+            by_kind.setdefault(k, []).append(w)
+        whole = Trie((), self.words, self.others)
+        for label, (k, v) in enumerate(self.pairs):
+            for w in by_kind[k]:
+                for path in (w,) if v < 0 else (w + BREAK + self.varieties[v], self.varieties[v] + BREAK + w):
+                    whole.add(path, label)
+        self.walks = Walks(whole)
+        self.longest = max((len(max(self.written[k], key=len)) + (len(self.varieties[v]) if v >= 0 else 0) for k, v in self.pairs), default=0)
 
     # -- search -------------------------------------------------------------------------------
 
@@ -172,14 +347,14 @@ class Reference:
             keep((k, -1), s)
             seen.setdefault(s, []).append(k)
         for s, ks in seen.items():
-            for v, t in walk(self.variety_trie, a, s):
+            for v, t in walk(self.variety_trie, a, a.crossed(s)):
                 for k in ks:
                     keep((k, v), t)
         turned: dict[tuple, list[int]] = {}
         for v, s in walk(self.variety_trie, a, a.start):
             turned.setdefault(s, []).append(v)
         for s, vs in turned.items():
-            for k, t in walk(self.kind_trie, a, s):
+            for k, t in walk(self.kind_trie, a, a.crossed(s)):
                 for v in vs:
                     keep((k, v), t)
         return out
@@ -187,7 +362,7 @@ class Reference:
     def fits(self, query: str, pair: tuple[int, int], distance: int) -> bool:
         """Whether no part of a name takes more errors than its length allows."""
         k, v = pair
-        if distance <= 1:
+        if distance <= 1 or LISTED in query or ALIAS in query:  # the beginnings of words hold no errors
             return True
         if v < 0:
             return any(distance <= allowed(len(w)) for w in self.written[k] if edits(query, w) == distance)
@@ -207,41 +382,75 @@ class Reference:
         different first letter, are less likely than other slips."""
         k, v = pair
         variety = self.varieties[v].replace(" ", "") if v >= 0 else ""
+        query = query.replace(BREAK, "")
         ways = {a for w in self.written[k] for a in (w + variety, variety + w)}
         return min(edits(query, w, far=1.5) + 0.25 * (query[:1] != w[:1]) for w in ways)
 
     def matches(self, text: str | None) -> list[Match]:
         """All entries at the least distance within the one allowed; none if an unlisted path is nearer."""
-        queries = tuple(self.queries(text))
-        if queries not in self.known:
-            if len(self.known) >= self.memory:
-                self.known.clear()
-            self.known[queries] = self._nearest(queries)
-        return self.known[queries]
-
-    def _nearest(self, queries: Sequence[str]) -> list[Match]:
+        return self.search([text])[0][0]
+
+    def search(self, texts: Sequence[str | None], block: int = 4096) -> list[tuple[list[Match], list[Match]]]:
+        """Of each text, the entries that `matches` gives, and all entries within the distance allowed, the nearest first."""
+        read = [tuple(self.queries(t)) for t in texts]
+        by_errors: dict[int, list[str]] = {}
+        for q in dict.fromkeys(q for qs in read if qs not in self.known for q in qs):
+            n = letters_in(q)
+            if n <= self.longest + allowed(n):
+                by_errors.setdefault(allowed(n) if len(q) <= 62 else -1, []).append(q)
+        listed: dict[str, dict[int, int]] = {}
+        for errors, queries in by_errors.items():
+            for lo in range(0, len(queries), block):
+                part = queries[lo : lo + block]
+                listed.update(zip(part, self.walks.within(part, errors) if errors >= 0 else map(self._one_by_one, part)))
+        out = []
+        for qs in read:
+            if qs not in self.known:
+                if len(self.known) >= self.memory:
+                    self.known.clear()
+                near = {q: {self.pairs[label]: d for label, d in listed.get(q, {}).items()} for q in qs}
+                best: dict[int, int] = {}
+                for found in near.values():
+                    for p, d in found.items():
+                        for i in self.ids[p]:
+                            best[i] = min(d, best.get(i, d))
+                self.known[qs] = self._nearest(near), [Match(i, d) for d, i in sorted((d, i) for i, d in best.items())]
+            out.append(self.known[qs])
+        return out
+
+    def _one_by_one(self, query: str) -> dict[int, int]:
+        """The walk for a query too long for one machine word."""
+        a = Automaton(query, allowed(letters_in(query)))
+        out: dict[int, int] = {}
+        for label, s in walk(self.walks.trie, a, a.start):
+            d = a.distance(s)
+            if d is not None:
+                out[label] = min(d, out.get(label, d))
+        return out
+
+    def _nearest(self, listed: Mapping[str, Mapping[tuple[int, int], int]]) -> list[Match]:
+        """The nearest entries over the readings of a text; listed: of each, the pairs of the list within its distance."""
         best: list[Match] = []
-        for query in queries:
-            limit = allowed(len(query))
+        for query, around in listed.items():
+            if not around:
+                continue
+            limit = allowed(letters_in(query))
             if best:
                 limit = min(limit, best[0].distance)
-            for errors in range(limit + 1):
-                found = {p: d for p, d in self.near(query, errors).items() if self.fits(query, p, d)}
-                if not found:
+            for level in sorted({d for d in around.values() if d <= limit}):
+                if level and any(p not in self.ids and self.fits(query, p, d) for p, d in self.near(query, level - 1).items()):
+                    break  # nearer to something that the list lacks
+                pairs = [p for p, d in around.items() if d == level and self.fits(query, p, d)]
+                if not pairs:
                     continue
-                low = min(found.values())
-                pairs = [p for p, d in found.items() if d == low and p in self.ids]
-                if len(pairs) > 1 and low:
+                if len(pairs) > 1 and level:
                     effort = {p: self.effort(query, p) for p in pairs}
                     pairs = [p for p in pairs if effort[p] == min(effort.values())]
-                if pairs:
-                    ids = {i for p in pairs for i in self.ids[p]}
-                    if best and best[0].distance == low:  # another reading of the text, as near
-                        ids |= {m.entry for m in best}
-                    best = [Match(i, low) for i in sorted(ids)]
-                    break
-                if low < errors or errors == limit or low == errors:
-                    break  # nearest to something that the list lacks
+                ids = {i for p in pairs for i in self.ids[p]}
+                if best and best[0].distance == level:  # another reading of the text, as near
+                    ids |= {m.entry for m in best}
+                best = [Match(i, level) for i in sorted(ids)]
+                break
         return best
 
     def queries(self, text: str | None) -> list[str]:
@@ -258,35 +467,48 @@ class Reference:
             if words and all(len(w) == 1 for w in words):
                 words = ["".join(words)]
             words = [w.translate(DIGITS) if re.search(r"[a-z]", w) else w for w in words]
-            for q in self._unshortened(words):
-                q = re.sub(r"[^a-z0-9]", "", q)
+            for q in self._readings(words):
                 for x in (q, q.replace("rn", "m")):
-                    if x and x not in out:
+                    if letters_in(x) and x not in out:
                         out.append(x)
         return out
 
-    def _unshortened(self, words: list[str]) -> list[str]:
-        """The words with those that end in a dot completed, in every way, from the words of the list."""
-        out = [""]
+    def _readings(self, words: list[str]) -> list[str]:
+        """The words as one query. One that ends in a dot is the beginning of a word of the list, or else of
+        an alias; if none begins so, it may be such a beginning with a slip, or the word itself."""
+        pieces, slips = [], False
         for w in words:
-            stem = w.rstrip(".")
-            ways = [stem]
-            if w.endswith(".") and "." not in stem:
-                ways = self._completions(stem) or [stem]
-            out = [a + b for a in out for b in ways]
-        return out
-
-    def _completions(self, stem: str) -> list[str]:
-        """Words that begin with the stem: of the list, else of the aliases, else of the list but for a slip."""
-        for words in (self.words, self.others):
-            if ways := sorted(x for x in words if x.startswith(stem) and len(x) > len(stem)):
-                return ways
-        return sorted(x for x in self.words if len(stem) > 3 and len(x) > len(stem) and edits(stem, x[: len(stem)]) == 1)
+            stem = re.sub(r"[^a-z0-9]", "", w)
+            plain_word = not w.endswith(".") or "." in w.rstrip(".")
+            if plain_word:
+                pieces.append((stem, stem))
+            elif mark := LISTED if self._begins(self.sorted_words, stem) else ALIAS if self._begins(self.sorted_others, stem) else "":
+                pieces.append((BREAK + stem + mark,) * 2)
+            else:
+                slips |= len(stem) > 3
+                pieces.append((stem + LISTED if len(stem) > 3 else stem, stem))
+        whole = "".join(p[1] for p in pieces)
+        return ["".join(p[0] for p in pieces), whole] if slips else [whole]
+
+    @staticmethod
+    def _begins(words: list[str], stem: str) -> bool:
+        """Whether a longer word begins with the stem."""
+        at = bisect_right(words, stem)
+        return at < len(words) and words[at].startswith(stem)
 
     def _is_variety(self, text: str) -> bool:
         q = re.sub(r"[^a-z]", "", text.translate(DIGITS))
-        a = Automaton(q, min(2, len(q) // 4))
-        return any(a.distance(s) is not None for _, s in walk(self.variety_trie, a, a.start)) if q else False
+        if q not in self.remarks:
+            if len(self.remarks) >= self.memory:
+                self.remarks.clear()
+            a = Automaton(q, min(2, len(q) // 4))
+            self.remarks[q] = q != "" and any(a.distance(s) is not None for _, s in walk(self.variety_trie, a, a.start))
+        return self.remarks[q]
+
+
+def letters_in(query: str) -> int:
+    """Letters that a query gives; those of words that it has the beginning of are not known."""
+    return len(query) - sum(map(query.count, (BREAK, LISTED, ALIAS)))
 
 
 def allowed(length: int) -> int:
@@ -310,6 +532,10 @@ def plurals(name: str) -> set[str]:
     return out
 
 
+#: Longest name, in characters, that is searched apart from its rows; longer ones are searched where they lie.
+LONGEST = 256
+
+
 def map_names(
     df: DataFrame,
     text: str,
@@ -320,60 +546,63 @@ def map_names(
     most_entries: int = 100_000,
     memory: int = 200_000,
 ) -> DataFrame:
-    """Adds `entrada` (id of the entry meant, null if none), `distancia` and `candidatos` (all nearest entries).
+    """Adds `entrada` (id of the entry meant, null if none), `distancia`, `candidatos` (all nearest entries)
+    and `dentro` (all entries within the distance that the name's length allows, each with its own).
 
     reference: the list, with `entry` = (id, name) columns; it goes to every task, so more than
     `most_entries` entries are refused. context: columns of df that tell entries with equally near
     names apart, each with the reference column it must equal (text without case and marks, numbers
     exactly); if several or none fit, the name is ambiguous and `entrada` stays null.
 
-    No shuffle: each task searches every distinct name once, remembering up to `memory` of them, so
-    a name that fills a third of the rows costs no more than others. Null, empty and unreadable names
-    are unmatched; entries without id or name can't be meant. Rows are kept as they are; repeated rows give repeated results. Columns of df named
-    like a result are replaced.
+    Each distinct name is searched once, and joined back to its rows: frequent names, of which there
+    is a bounded number of bounded length, by broadcast, the others by name. Null, empty and unreadable
+    names are unmatched; entries without id or name can't be meant. Rows are kept as they are; repeated
+    rows give repeated results. Columns of df named like a result are replaced.
     """
-    spark_kind = dict(reference.dtypes)[entry[0]]
     context = dict(context or {})
-    ids = [entry[0], entry[1], *context.values()]
-    listed = [tuple(r) for r in reference.where(f"{entry[0]} IS NOT NULL").select(*ids).distinct().orderBy(entry[0]).limit(most_entries + 1).collect()]
+    kind = reference.schema[entry[0]].dataType
+    told = {f"_c{i}": c for i, c in enumerate(context.values())}
+    facts = [_told(reference, c).alias(n) for n, c in told.items()]
+    rows = reference.where(F.col(entry[0]).isNotNull()).select(F.col(entry[0]).alias("_i"), F.col(entry[1]).alias("_name"), *facts)
+    listed = [tuple(r) for r in rows.distinct().orderBy("_i").limit(most_entries + 1).collect()]
     if len(listed) > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
-    df = df.drop("entrada", "distancia", "candidatos")
-    about = {r[0]: tuple(_told(x) for x in r[2:]) for r in listed}
+    about = {r[0]: r[2:] for r in listed}
     names = [(r[0], r[1]) for r in listed]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref = Reference(names, aliases or {}, memory=memory)
-        known: dict[str | None, list[Match]] = {}
-        for b in batches:
-            asked = b.column(text).to_pylist()
-            told = list(zip(*(b.column(c).to_pylist() for c in context))) if context else [()] * len(asked)
-            entries, distances, candidates = [], [], []
-            for t, facts in zip(asked, told):
-                if t not in known:
-                    if len(known) >= memory:
-                        known.clear()
-                    known[t] = ref.matches(t)
-                found = known[t]
-                if len(found) > 1 and facts:
-                    facts = tuple(_told(x) for x in facts)
-                    fit = [m for m in found if all(x is None or x == y for x, y in zip(facts, about[m.entry]))]
-                    pick = fit[0] if len(fit) == 1 else None
-                else:
-                    pick = found[0] if len(found) == 1 else None
-                entries.append(pick.entry if pick else None)
-                distances.append(found[0].distance if found else None)
-                candidates.append([m.entry for m in found])
-            kind = pa.int64() if spark_kind == "bigint" else pa.int32() if spark_kind == "int" else pa.string()
-            made = [pa.array(entries, kind), pa.array(distances, pa.int32()), pa.array(candidates, pa.list_(kind))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "entrada", "distancia", "candidatos"])
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
-    kind = reference.schema[entry[0]].dataType
-    extra = [StructField("entrada", kind), StructField("distancia", IntegerType()), StructField("candidatos", ArrayType(kind))]
-    return df.mapInArrow(search, StructType([*df.schema.fields, *extra]))
-
-
-def _told(x: object) -> object:
-    return plain(x).strip() if isinstance(x, str) else x
+    near = StructType([StructField("entrada", kind), StructField("distancia", IntegerType()), *(StructField(f.name, f.dataType) for f in rows.schema.fields[2:])])
+    found = [StructField("_near", ArrayType(near)), StructField("dentro", ArrayType(StructType(near.fields[:2])))]
+    arrow = to_arrow_schema(StructType(found))
+
+    def search(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ref = Reference(names, aliases or {}, memory=memory)
+            for b in batches:
+                got = ref.search(b.column(column).to_pylist())
+                nearest = [[{"entrada": m.entry, "distancia": m.distance, **dict(zip(told, about[m.entry]))} for m in x] for x, _ in got]
+                inside = [[{"entrada": m.entry, "distancia": m.distance} for m in x] for _, x in got]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest, arrow.field(0).type), pa.array(inside, arrow.field(1).type)], names=[*b.schema.names, *arrow.names])
+
+        return run
+
+    df = df.drop("entrada", "distancia", "candidatos", "dentro")
+    short = F.length(text) <= LONGEST
+    distinct = df.where(short).groupBy(F.col(text).alias("_name")).agg(F.count("*").alias("_n"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    searched = distinct.repartition(tasks, "_name").mapInArrow(search("_name"), StructType([*distinct.schema.fields, *found]))
+    joined = join_counted(df.where(short).withColumn("_name", F.col(text)), written(searched, "names"), ["_name"], "_n").drop("_name")
+    direct = df.where(~F.coalesce(short, F.lit(False))).mapInArrow(search(text), StructType([*df.schema.fields, *found]))
+    out = joined.unionByName(direct)
+
+    def fits(m: Column) -> Column:
+        same = F.lit(bool(context))
+        for n, c in zip(told, context):
+            same &= F.col(c).isNull() | F.coalesce(m[n] == _told(df, c), F.lit(False))
+        return same
+
+    fit = F.filter("_near", fits)
+    only = F.when(F.size("_near") == 1, F.get("_near", F.lit(0))["entrada"]).when(F.size(fit) == 1, F.get(fit, F.lit(0))["entrada"])
+    return out.select(*df.columns, only.alias("entrada"), F.get("_near", F.lit(0))["distancia"].alias("distancia"), F.col("_near.entrada").alias("candidatos"), "dentro")
+
+
+def _told(df: DataFrame, c: str) -> Column:
+    return normalised(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c)

@@ -49,11 +49,11 @@ REGIONAL = {
 
 
 def p5_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each report row with the product its name means, or none, and all nearest products."""
+    """Each report row with the product its name means, or none, all nearest products and all within the distance allowed."""
     rows = table(spark, sf_dir, "filas_reporte").select("fila_id", "producto", "unidad", "equiv_kg")
     context = {"equiv_kg": "equiv_kg", "unidad": "unidad_default"}
     mapped = map_names(rows, "producto", table(spark, sf_dir, "productos"), ("id", "nombre_canonico"), REGIONAL, context)
-    return mapped.select("fila_id", "producto", F.col("entrada").alias("producto_id"), "distancia", "candidatos")
+    return mapped.select("fila_id", "producto", F.col("entrada").alias("producto_id"), "distancia", "candidatos", "dentro")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import itertools
+import time
 
 import pytest
 
-from lonja.llm.canonical import Automaton, Reference, Trie, allowed, edits, map_names, walk
+from lonja.llm.canonical import Automaton, Reference, Trie, allowed, edits, letters_in, map_names, walk
 from lonja.llm.queries import REGIONAL
 
 NAMES = ["Papa Dorada", "Papaya Lanceta", "Palta Frontina", "Papa Frontina", "Yuca Ibérica", "Maíz Choclo Tarmina", "Plátano Tarmina", "Fresa", "Poro", "Culantro", "Mango Tronquito", "Mandarina Tronquito", "Cebolla Azabache", "Vainita Bermeja", "Coliflor", "Haba Índiga"]
@@ -79,3 +80,41 @@ def test_table(spark):
     assert map_names(df, "texto", reference.limit(0), ("id", "nombre")).where("entrada IS NOT NULL").count() == 0
     with pytest.raises(ValueError):
         map_names(df, "texto", reference, ("id", "nombre"), most_entries=3)
+
+
+def test_all_within_the_distance_as_in_the_plain_search():
+    texts = ["Papa Dorada", "Pata Frontina", "Papa Frontnia", "poor", "Frse", "Man. Tronquito", "Maíz Choclos Tarm.", "Hba Indiga", "Yuca", "mandarina trnquito", "x" * 80 + " papa", "", None]
+    found = REF.search(texts)
+    for text, (near, within) in zip(texts, found):
+        want = {}
+        for q in REF.queries(text):
+            a = Automaton(q, allowed(letters_in(q)))
+            for label, s in walk(REF.walks.trie, a, a.start):
+                d = a.distance(s)
+                if d is not None:
+                    for i in REF.ids[REF.pairs[label]]:
+                        want[i] = min(d, want.get(i, d))
+        assert {m.entry: m.distance for m in within} == want
+        assert {m.entry for m in near} <= set(want) and [m.distance for m in within] == sorted(m.distance for m in within)
+    assert {NAMES[m.entry] for m in found[1][1]} == {"Palta Frontina", "Papa Frontina"}
+
+
+def test_abbreviations_are_completed_within_the_walk():
+    ref = Reference([(i, f"{a} {b}") for i, (a, b) in enumerate(itertools.product(["Papa", "Palta", "Coliflor", "Maca", "Cebolla"], ["Criolla", "Amarilla", "Serrana"]))])
+    names = dict(ref.entries)
+    assert {names[m.entry] for m in ref.matches("P. Cri.")} == {"Papa Criolla", "Palta Criolla"}
+    assert [names[m.entry] for m in ref.matches("Ceb. S.")] == ["Cebolla Serrana"]
+    assert [names[m.entry] for m in ref.matches("Cebi. Serrana")] == ["Cebolla Serrana"]  # a slip in the beginning
+    began = time.time()
+    for text in ("p. c. m.", "p. c. m. a. s.", "p. c. m. a. s. c. p. m. a."):
+        assert ref.matches(text) == []
+    assert time.time() - began < 0.5
+
+
+def test_frequent_long_and_null_names(spark):
+    reference = spark.createDataFrame([(1, "Yuca Ibérica"), (2, "Fresa")], "id bigint, nombre string")
+    rows = [("Fresa",)] * 300 + [("yuca iberca",), (None,), ("",), ("fresa (" + "muy rica " * 60 + ")",), ("z" * 400,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = map_names(df, "t", reference, ("id", "nombre")).collect()
+    assert len(got) == len(rows) and sum(r.entrada == 2 for r in got) == 301 and sum(r.entrada == 1 for r in got) == 1
+    assert [[tuple(x) for x in r.dentro] for r in got if r.t == "yuca iberca"] == [[(1, 1)]]
