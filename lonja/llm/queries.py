@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm.canonical import map_names
 from lonja.llm.packing import containers
-from lonja.llm.spans import shared_spans, shares
+from lonja.llm.spans import classes, repeats, shared_spans, shares
 from lonja.llm.tokens import decoded, token_counts, token_ids
 from lonja.session import table
 
@@ -87,11 +87,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repeat of each document, with the least document and place where it stands."""
+    return classes(repeats(table(spark, sf_dir, "documents")))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each text stands verbatim in another document."""
     docs = table(spark, sf_dir, "documents")
     return shares(docs, shared_spans(docs))
 
 
-QUERIES = {"p5_mapped": p5_mapped, "p5_found": p5_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p5_mapped": p5_mapped, "p5_found": p5_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_classes": p10_classes, "p10_shares": p10_shares}
 SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

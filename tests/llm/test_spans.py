@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lonja.llm.spans import Rolling, code_points, seeds, shared_spans, shares, sliding
+from lonja.llm.spans import Rolling, classes, code_points, repeats, seeds, shared_spans, shares, sliding
 
 SCHEMA = "doc_id bigint, text string, pos int, inicio string"
 
@@ -90,3 +90,39 @@ def test_windows_and_winnowing():
     at = seeds(h, 5)
     for i in range(len(h) - 4):
         assert any(i <= p < i + 5 and h[p] == h[i : i + 5].min() for p in at)
+
+
+def mixture(seed):
+    rng = random.Random(seed)
+    pool = [noise(rng, rng.randint(10, 120)) for _ in range(5)]
+    rows = [(d, "".join(rng.choice(pool) if rng.random() < 0.6 else noise(rng, rng.randint(0, 60)) for _ in range(rng.randint(0, 6)))) for d in range(25)]
+    formula = noise(rng, 40)  # a seed within ever other texts
+    rows += [(100 + i, noise(rng, 40) + formula + noise(rng, 40)) for i in range(12)]
+    return rows + [(200, rows[3][1]), (201, rows[3][1]), (202, "ab" * 90), (203, "x" + "ab" * 50)]
+
+
+@pytest.mark.parametrize("seed, most", [(0, 1), (1, 2), (2, 64)])
+def test_seeds_with_many_surroundings(spark, seed, most):
+    rows = mixture(seed)
+    got = found(spark, rows, length=60, seed=30, most=most)
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 60)
+
+
+@pytest.mark.parametrize("seed, most", [(3, 64), (4, 2)])
+def test_no_link_is_lost(spark, seed, most):
+    rows = mixture(seed)
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
+    held = classes(repeats(df, length=60, seed=30, most=most)).collect()
+    text = dict(rows)
+    for r in held:
+        assert text[r.doc_id][r.inicio : r.fin] == text[r.clase][r.clase_inicio : r.clase_inicio + r.fin - r.inicio]
+        assert r.clase <= r.doc_id and r.veces >= 2 and r.fin - r.inicio >= 60
+    windows = {}
+    for d, t in rows:
+        for i in range(len(t) - 59):
+            windows.setdefault(t[i : i + 60], []).append((d, i))
+    for places in windows.values():
+        if len({d for d, _ in places}) < 2:
+            continue
+        maps = [{(r.clase, i - r.inicio + r.clase_inicio) for r in held if r.doc_id == d and r.inicio <= i and i + 60 <= r.fin} for d, i in places]
+        assert set.intersection(*maps)
