@@ -588,7 +588,8 @@ def map_names(
     short = F.length(text) <= LONGEST
     distinct = df.where(short).groupBy(F.col(text).alias("_name")).agg(F.count("*").alias("_n"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    searched = distinct.repartition(tasks, "_name").mapInArrow(search("_name"), StructType([*distinct.schema.fields, *found]))
+    # By another expression, so that many names with few bytes are not put together into few tasks.
+    searched = distinct.repartition(tasks, F.xxhash64("_name")).mapInArrow(search("_name"), StructType([*distinct.schema.fields, *found]))
     joined = join_counted(df.where(short).withColumn("_name", F.col(text)), written(searched, "names"), ["_name"], "_n").drop("_name")
     direct = df.where(~F.coalesce(short, F.lit(False))).mapInArrow(search(text), StructType([*df.schema.fields, *found]))
     out = joined.unionByName(direct)
