@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -140,6 +141,44 @@ def links(pages: DataFrame, html: str, pattern: str, order: Sequence[str]) -> Da
     return found.groupBy("enlace").agg(F.min(F.struct(*order, "_i")).alias("_at")).orderBy("_at").select("enlace")
 
 
+@dataclass(frozen=True)
+class Collection:
+    """A source's index on the web: its name, address, the pattern of its month pages, and the name its rows go by."""
+
+    name: str
+    url: str
+    months: str
+    source: str
+
+
+#: The two collections that the navigation is made for.
+COLLECTIONS = {
+    "mayorista": Collection("mayorista", "/coleccion", r"/mes/\d{4}-\d{2}", "reporte"),
+    "regional": Collection("regional", "/coleccion-regional", r"/regional/mes/\d{4}-\d{2}", "regional"),
+}
+
+
+def month_pages(sheets: DataFrame, collection: Collection, most: int | None = None) -> DataFrame:
+    """enlace, lugar: the month pages linked in the sheets (hoja, html) of a collection's index, each at its first place.
+
+    Sheets count up to the first one that has no page which an earlier one had not.
+    """
+    found = sheets.select("hoja", F.posexplode(F.regexp_extract_all("html", F.lit(collection.months), F.lit(0))).alias("_i", "enlace"))
+    first = found.groupBy("enlace").agg(F.min(F.struct("hoja", "_i")).alias("_at"))
+    news = sheets.select("hoja").distinct().join(first.select(F.col("_at.hoja").alias("hoja")).distinct().withColumn("_new", F.lit(True)), "hoja", "left")
+    stop = news.agg(F.min(F.when(F.col("_new").isNull(), F.col("hoja"))).alias("_stop"))  # one row
+    held = first.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("_at.hoja") < F.col("_stop")))
+    # The pages of an index: as many as months.
+    out = held.select("enlace", F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("lugar"))
+    return out.where(F.col("lugar") <= most) if most else out
+
+
+def last_of_each(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    """The n last rows of each key."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """With header; fields are quoted where they must be, quotes doubled."""
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
