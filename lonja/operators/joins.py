@@ -85,3 +85,13 @@ def correlations(df: DataFrame, group: str, order: str, member: str, value: str,
     n, sa, sb, saa, sbb, sab = (F.col(k) for k in ("n", "sa", "sb", "saa", "sbb", "sab"))
     bottom = F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb))
     return total.where(n >= least).select(group, "a", "b", n.cast("bigint").alias("n"), F.try_divide(n * sab - sa * sb, bottom).alias("r"))
+
+
+def in_order(asked: DataFrame, known: DataFrame, query: str, place: str, on: str, values: Sequence[str], most: int) -> DataFrame:
+    """query, values, lugar: what each query's list (query, place, on) names, in the order of the list.
+
+    Unknown names drop out, repeated ones count at their first place, and `most` are kept of each list.
+    """
+    found = asked.join(known.select(on, *values), on).groupBy(query, *values).agg(F.min(place).alias("_i"))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy("_i"))
+    return found.withColumn("lugar", rank).where(F.col("lugar") <= most).drop("_i")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.functions.text import tokens
+from lonja.functions.text import normalised, tokens
 
 K1, B = 1.5, 0.75
 
@@ -64,6 +64,17 @@ def accepts() -> Column:
     return among("slug", "slugs") & among("tipo", "tipos") & dated()
 
 
+def accepted(docs: DataFrame, gold: DataFrame, on: str) -> DataFrame:
+    """Pairs of a case of a gold set and a text that it accepts: equal `on`, and, where the case asks for
+    them, its kind (_tipo), a day that the text covers (_dia), and words that stand in it (_contiene)."""
+    inside = F.contains(normalised("text"), normalised("_contiene"))
+    tests = {"_tipo": F.col("tipo") == F.col("_tipo"), "_dia": (F.col("fecha_inicio") <= F.col("_dia")) & (F.col("fecha_fin") >= F.col("_dia")), "_contiene": inside}
+    pairs = gold.join(docs, on)
+    for c, test in tests.items():
+        pairs = pairs.where(F.col(c).isNull() | test)
+    return pairs
+
+
 def _accepted(b: pa.RecordBatch, r: int) -> np.ndarray:
     """`accepts` of the queries and texts of a row of blocks."""
     slugs, tipos, desde, hasta = (b.column(f"_{c}")[r].values for c in FILTER)

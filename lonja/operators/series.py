@@ -117,6 +117,14 @@ def map_series(
     return ordered.mapInArrow(run, schema)
 
 
+def merged(parts: Sequence[DataFrame], keys: Sequence[str] = SERIES) -> DataFrame:
+    """Partial results put together by series: a row for each series of any part, null where a part lacks it."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, list(keys), "full")
+    return out
+
+
 def _column(v: np.ndarray | pa.ChunkedArray, kind: pa.DataType) -> pa.Array | pa.ChunkedArray:
     if isinstance(v, pa.ChunkedArray):
         return v.cast(kind)

@@ -53,6 +53,23 @@ def sampled(df: DataFrame, points: int, keys: Sequence[str] = SERIES, order: str
     return rows.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
 
 
+def evenly(df: DataFrame, points: int, keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
+    """At most `points` rows of a series at even distances, the last of them its last row."""
+    rows = df.withColumns({"_i": F.row_number().over(ordered(keys, order)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    # Row i is picked if it is floor(k * n / points) for a k below points - 1.
+    k = F.ceil(F.col("_i") * F.lit(points) / F.col("_n")).cast("bigint")
+    picked = (k < points - 1) & (F.floor(k * F.col("_n") / F.lit(points)) == F.col("_i"))
+    return rows.where((F.col("_n") <= points) | picked | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+
+
+def of_market(df: DataFrame, markets: DataFrame, code: str, market: str = "mercado_id") -> DataFrame:
+    """The rows of the market with a code (markets: `market`, codigo); all rows if none has."""
+    asked = markets.where(F.col("codigo") == code).select(market)
+    there = asked.agg((F.count("*") > 0).alias("_there"))  # one row
+    marked = df.join(asked.withColumn("_own", F.lit(True)), market, "left").crossJoin(F.broadcast(there))
+    return marked.where(F.col("_own") | ~F.col("_there")).drop("_own", "_there")
+
+
 def islands(df: DataFrame, value: str, keys: Sequence[str] = SERIES, order: str = "fecha") -> DataFrame:
     """keys, tramo, desde, hasta, n: the unbroken runs of rows with a value."""
     broken = F.sum(F.col(value).isNull().cast("int")).over(ordered(keys, order))
