@@ -9,10 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lonja.functions import vectors as vec
+from lonja.functions.formats import signature_file
 from lonja.functions.text import tokens
 from lonja.session import ship
+from lonja.sources.store import exists
 
 
 def hashed(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
@@ -52,7 +55,12 @@ def closed(end: str | Column, last: Column) -> Column:
 
 
 def write_index(chunks: DataFrame, path: str, signature: str, vector: str = "v", part: str = "parte") -> None:
-    """Write chunks with their vectors as int8 codes, by part; only the parts that chunks holds are replaced."""
+    """Write chunks with their vectors as int8 codes, by part; only the parts that chunks holds are replaced.
+
+    An index by an embedder for tests ("fake:...", "local:...") is refused.
+    """
+    if signature.startswith(("fake:", "local:")):
+        raise ValueError(f"{signature} is no embedder to publish an index by")
     rows = chunks.withColumn("codigo", vec.quantised(vector)).drop(vector).withColumn("firma", F.lit(signature))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
@@ -71,3 +79,20 @@ def missing(chunks: DataFrame, known: DataFrame, key: str, text: str) -> DataFra
     ship(chunks.sparkSession)
     mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     return chunks.withColumn("huella", mark).join(known.select(key, "huella").distinct(), [key, "huella"], "left_anti")
+
+
+def embedded(chunks: DataFrame, base: str, provider: str, model: str, dims: int, key: str, text: str) -> DataFrame:
+    """key, huella, v of every chunk, from the vectors kept for this embedder; those that lack one are embedded and kept.
+
+    Each embedder has a folder of its own. New vectors are appended as a batch that is either whole or
+    absent, so a run that ends midway costs no more than its own batch.
+    """
+    spark = chunks.sparkSession
+    path = f"{base.rstrip('/')}/{signature_file(provider, model, dims)}"
+    empty = StructType([StructField(key, chunks.schema[key].dataType), *StructType.fromDDL("huella string, v array<float>").fields])
+    known = spark.read.schema(empty).parquet(path) if exists(spark, path) else spark.createDataFrame([], empty)
+    new = missing(chunks.select(key, text), known, key, text).dropDuplicates([key, "huella"])
+    vectors = hashed(new, key, text, dims).join(new.select(key, "huella"), key)
+    vectors.select(key, "huella", "v").write.mode("append").parquet(path)
+    wanted = chunks.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("huella")).distinct()
+    return spark.read.schema(empty).parquet(path).join(wanted, [key, "huella"], "left_semi")

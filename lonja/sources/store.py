@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,6 +109,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str],
             same &= old[k].eqNullSafe(asked[f"_{i}"])
         touched = touched.unionByName(old.join(asked, same, "left_semi").select("mes"))
     months = {r.mes for r in touched.distinct().collect()}  # a run touches few months
+    if not months:
+        return
     here = F.col("mes").isin(*[m for m in months if m]) | (F.col("mes").isNull() & F.lit(None in months))
     merged = holding_rows(old.where(here).unionByName(rows), keys, version, [version, *[c for c in rows.columns if c not in keys and c != version]])
     staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
@@ -122,6 +124,75 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str],
     finish(spark, path)
 
 
+#: The tables of the store.
+SCHEMAS = {
+    "mercados": "id int, codigo string, nombre string",
+    "productos": "id int, nombre_canonico string, categoria string, unidad_default string, equiv_kg double",
+    "precios_diarios": "fecha date, mercado_id int, producto_id int, masa_hoy double, precio_hoy_kg double, tendencia string, fuente string, cargado_en timestamp",
+    "pronosticos": "producto_id int, mercado_id int, fecha date, horizonte int, bajo double, alto double, metodo string",
+    "fuentes_raw": "id int, fuente string, fecha date, url string, sha256 string, bytes int, descargado_en timestamp",
+}
+
+
+def create(spark: SparkSession, base: str) -> None:
+    """The store's tables below base, each made empty where it is absent; what is there is not touched."""
+    for name, schema in SCHEMAS.items():
+        if not exists(spark, f"{base}/{name}"):
+            spark.createDataFrame([], StructType.fromDDL(schema)).write.mode("ignore").parquet(f"{base}/{name}")
+
+
+def with_ids(known: DataFrame, named: DataFrame, name: str, key: str) -> DataFrame:
+    """name, key: the known names with their ids, and every further name of `named` with one after the greatest.
+
+    Names of a dimension: new ones are numbered in their order, in one task. Null names get none.
+    """
+    new = named.where(F.col(name).isNotNull()).select(name).distinct().join(known, name, "left_anti")
+    last = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
+    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(name))).crossJoin(F.broadcast(last))
+    return known.select(name, key).unionByName(numbered.select(name, (F.col("_last") + F.col("_n")).cast(known.schema[key].dataType).alias(key)))
+
+
+def upsert_forecasts(spark: SparkSession, path: str, rows: DataFrame, version: str) -> None:
+    """Bring forecasts into the table at path, one for each product, market, day and horizon.
+
+    rows: producto_id, mercado_id, fecha, horizonte (1 if null), intervalo (array of two), `version`.
+    """
+    flat = rows.select("producto_id", "mercado_id", "fecha", F.coalesce("horizonte", F.lit(1)).alias("horizonte"), F.get("intervalo", F.lit(0)).alias("bajo"), F.get("intervalo", F.lit(1)).alias("alto"), version)
+    upsert(spark, path, flat, ["producto_id", "mercado_id", "fecha", "horizonte"], version, "fecha")
+
+
+def version_of(df: DataFrame, columns: Sequence[str]) -> str:
+    """A version of a table's data: its rows and the sum of their hashes, whatever their order."""
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string").alias("h")).first()
+    return f"{r.n}-{(r.h or '0').lstrip('-')}"
+
+
+def kept(spark: SparkSession, base: str, name: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A result kept for a version of the data: read if it is there and whole, else made and kept.
+
+    It is written aside and moved to its place when it is whole, so a writer that ends midway leaves
+    nothing that could be read; if two make it at once, the first one's stays.
+    """
+    path = f"{base.rstrip('/')}/{name}/{version}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        aside = f"{base.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+        make().write.parquet(aside)
+        jvm = spark.sparkContext._jvm
+        place, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(place) and not exists(spark, f"{path}/_SUCCESS"):
+            fs.delete(place, True)  # what a broken copy left
+        fs.mkdirs(place.getParent())
+        if fs.exists(place) or not fs.rename(new, place):
+            fs.delete(new, True)
+    return spark.read.parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that upserts have made at path; empty before the first row."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def insert_new(known: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not known yet, each key once (the least row)."""
     rest = [c for c in rows.columns if c not in keys]
