@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lonja.operators.joins import asof
 from lonja.session import written
 
 #: The kinds of a JSON value.
@@ -214,20 +215,21 @@ def canonical_names(found: DataFrame, source: str = "fuente", order: str = "fech
     """For each source and renamed field, what it was first called: source, nombre, desde, canonico.
 
     Chains of renames are shortened by pointer jumping: each round replaces a name's origin by the
-    origin of that origin, so a chain of n renames takes log2(n) rounds over the few renames.
+    origin of that origin, so a chain of n renames takes log2(n) rounds. The origin's own rename is the
+    last one before, found by an as-of join, so a field renamed to and fro makes no pairs.
     """
-    renames = found.where("cambio = 'renombrado'").select(source, F.col("nuevo").alias("nombre"), F.col(order).alias("desde"), F.col("campo").alias("canonico"), F.col(order).alias("_since"))
-    edges = written(renames, "renames")
+    renames = found.where("cambio = 'renombrado'").groupBy(source, F.col("nuevo").alias("nombre"), F.col(order).alias("desde")).agg(F.min("campo").alias("canonico"))
+    edges = written(renames.withColumn("_at", F.col("desde")), "renames")
     while True:
-        e = edges.alias("e")
-        p = edges.select(F.col(source).alias("_s"), F.col("nombre").alias("_n"), F.col("desde").alias("_d"), F.col("canonico").alias("_c"), F.col("_since").alias("_q")).alias("p")
-        joined = e.join(p, (F.col(f"e.{source}") == F.col("_s")) & (F.col("e.canonico") == F.col("_n")) & (F.col("_d") < F.col("e._since")), "left")
-        best = joined.groupBy(source, "nombre", "desde").agg(F.max(F.struct("_d", "_c", "_q")).alias("_p"), F.first("canonico").alias("canonico"), F.first("_since").alias("_since"))
-        moved = F.col("_p._c").isNotNull()
-        step = written(best.select(source, "nombre", "desde", F.when(moved, F.col("_p._c")).otherwise(F.col("canonico")).alias("canonico"), F.when(moved, F.col("_p._q")).otherwise(F.col("_since")).alias("_since"), moved.alias("_moved")), "renames")
+        left = edges.select(source, "nombre", "desde", F.col("canonico").alias("_name"), "_at")
+        right = edges.select(source, F.col("nombre").alias("_name"), F.col("desde").alias("_at"), F.col("canonico").alias("_origin"), F.col("_at").alias("_since"))
+        step = asof(left, right, [source, "_name"], "_at", ["_origin", "_since"], strict=True)
+        moved = F.col("_origin_asof").isNotNull()
+        step = step.select(source, "nombre", "desde", F.coalesce("_origin_asof", "_name").alias("canonico"), F.coalesce("_since_asof", "_at").alias("_at"), moved.alias("_moved"))
+        step = written(step, "renames")
         edges = step.drop("_moved")
         if not step.where("_moved").limit(1).count():
-            return edges.drop("_since")
+            return edges.drop("_at")
 
 
 def unify(df: DataFrame, found: DataFrame, key: str = "reporte_id", source: str = "fuente", order: str = "fecha", content: str = "contenido") -> DataFrame:
@@ -251,8 +253,13 @@ def unify(df: DataFrame, found: DataFrame, key: str = "reporte_id", source: str
             made = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*took, *made], names=[key, source, order, "linea", "nombre", "tipo", "valor"])
 
-    rows = deliveries(df, key, source, order, content).mapInArrow(cells, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, linea int, nombre string, tipo string, valor string")
-    origin = canonical_names(found, source, order).groupBy(F.col(source).alias("_s"), F.col("nombre").alias("_n")).agg(F.sort_array(F.collect_list(F.struct("desde", "canonico")), asc=False).alias("_names"))
-    rows = rows.join(origin, (rows[source] == origin["_s"]) & (rows["nombre"] == origin["_n"]), "left")
-    then = F.filter("_names", lambda x: x["desde"] <= F.col(order))
-    return rows.select(key, "linea", F.coalesce(F.try_element_at(then, F.lit(1))["canonico"], F.col("nombre")).alias("campo"), "nombre", "tipo", "valor")
+    held = deliveries(df, key, source, order, content)
+    rows = held.mapInArrow(cells, f"{key} {kinds[key]}, {source} {kinds[source]}, {order} {kinds[order]}, linea int, nombre string, tipo string, valor string")
+    # Each renamed name on each day of its source, with its origin: by these days a source of any share of the rows is spread.
+    names = written(canonical_names(found, source, order), "origins")
+    days = held.where(F.col(order).isNotNull()).select(source, order).distinct()
+    asked = days.join(names.select(source, "nombre").distinct(), source).select(source, order, "nombre")
+    then = asof(asked, names.select(source, "nombre", F.col("desde").alias(order), "canonico"), [source, "nombre"], order, ["canonico"])
+    origin = then.where(F.col("canonico_asof").isNotNull()).select(F.col(source).alias("_s"), F.col(order).alias("_o"), F.col("nombre").alias("_n"), F.col("canonico_asof").alias("_c"))
+    rows = rows.join(origin, (rows[source] == origin["_s"]) & (rows[order] == origin["_o"]) & (rows["nombre"] == origin["_n"]), "left")
+    return rows.select(key, "linea", F.coalesce("_c", "nombre").alias("campo"), "nombre", "tipo", "valor")

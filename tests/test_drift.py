@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 
-from lonja.operators.drift import assignment, changes, drift, field_name, profile, unify
+from lonja.operators.drift import assignment, canonical_names, changes, drift, field_name, profile, unify
 
 SCHEMA = "reporte_id bigint, fuente string, fecha date, contenido string, perfil string"
 
@@ -86,3 +86,14 @@ def test_chains_of_renames_lead_to_the_first_name(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert drift(df).count() == 0 and unify(df, drift(df)).count() == 0
+
+
+def test_a_field_renamed_to_and_fro(spark):
+    import time
+
+    first = dt.date(2000, 1, 1)
+    rows = [("f", first + dt.timedelta(i), "a" if i % 2 else "b", "renombrado", "b" if i % 2 else "a") for i in range(1, 1025)]
+    found = spark.createDataFrame(rows, "fuente string, fecha date, campo string, cambio string, nuevo string")
+    began = time.time()
+    got = canonical_names(found).collect()
+    assert len(got) == 1024 and {r.canonico for r in got} == {"a"} and time.time() - began < 60
