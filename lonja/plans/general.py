@@ -12,7 +12,7 @@ from lonja.operators.impute import Field, fill
 from lonja.operators.rolling import rolling
 from lonja.operators.series import SERIES, Block, has_value, holding_rows, map_series
 from lonja.operators.spikes import implausible
-from lonja.operators.units import ScaleModel, converted, reference_levels, with_unit
+from lonja.operators.units import ScaleModel, converted, known_units, reference_levels, with_unit
 from lonja.operators.usable import MASS, PRICE
 from lonja.session import table
 
@@ -55,19 +55,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holding rows with the published unit in kilograms and the product's reference level."""
     rows = with_unit(table(spark, sf_dir, "precios_diarios"), table(spark, sf_dir, "unidades"), table(spark, sf_dir, "productos"))
-    held = holding_rows(rows, KEY, "cargado_en", ["precio_hoy_unit", "precio_hoy_kg", "_kg", "_hundredths"])
+    held = holding_rows(rows, KEY, "cargado_en", ["precio_hoy_unit", "precio_hoy_kg", "_kg", "_hundredths", "_silent"])
     levels = reference_levels(rows)
     held = held.join(levels, held["producto_id"].eqNullSafe(levels["_anchor_of"]), "left").drop("_anchor_of")
     return held.withColumn("_hundredths", F.coalesce("_hundredths", F.lit(False)))
 
 
-def _price_kernel(b: Block) -> dict:
-    price, state = converted(b)
+def _price_kernel(b: Block, model: ScaleModel) -> dict:
+    price, state, kg = converted(b, model=model)
     stored, published = b["precio_hoy_kg"], b["precio_hoy_unit"]
     with np.errstate(invalid="ignore"):
         off = ~np.isnan(published) & (np.isnan(stored) | (np.abs(stored - price) > 0.02 * np.abs(price)))
-    price = np.where(np.isnan(price), stored / np.exp(ScaleModel().offsets)[state], price)
-    out = {"equiv_kg": b["_kg"], "precio_kg": price, "escala": state, "corregido": off, "marca": implausible(price, b.series)}
+    price = np.where(np.isnan(price), stored / np.exp(model.offsets)[state], price)
+    out = {"equiv_kg": kg, "precio_kg": price, "escala": state, "corregido": off, "marca": implausible(price, b.series)}
     return out | {k: b.columns.column(k) for k in KEY}
 
 
@@ -77,7 +77,8 @@ _PRICES = "producto_id int, mercado_id int, fecha date, equiv_kg double, precio_
 def p2_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holding rows with `equiv_kg` in kilograms, the price in soles per kilogram, the decoded money scale
     (0: what the text says, 1: hundredths), whether the stored price had to be corrected, and the p4 mark."""
-    return map_series(_priced(spark, sf_dir), _price_kernel, _PRICES)
+    model = ScaleModel(units=known_units(table(spark, sf_dir, "unidades")))
+    return map_series(_priced(spark, sf_dir), lambda b: _price_kernel(b, model), _PRICES)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

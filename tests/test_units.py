@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -94,3 +95,24 @@ def test_series_are_apart_and_empty_is_fine():
     assert not viterbi(y, anchor, np.zeros(50, bool), series, ScaleModel()).any()
     assert len(viterbi(np.zeros(0), np.zeros(0), np.zeros(0, bool), np.zeros(0, int), ScaleModel())) == 0
     assert viterbi(np.full(3, np.nan), np.full(3, np.nan), np.zeros(3, bool), np.zeros(3, int), ScaleModel()).tolist() == [0, 0, 0]
+
+
+def test_units_of_silent_rows_are_decoded_from_the_values():
+    rng = np.random.default_rng(4)
+    n, model = 40, ScaleModel(units=(0.4536, 1.0, 46.0))
+    level = math.log(3.0) + np.cumsum(rng.normal(0, 0.03, n))
+    kg = np.full(n, 20.0)  # the product's container, which a silent row is taken for
+    true = np.full(n, 20.0)
+    true[10:16], true[20], true[25:30] = 1.0, 46.0, 20.0
+    silent = np.zeros(n, bool)
+    silent[10:16], silent[20], silent[25:30] = True, True, True
+    hundred = np.zeros(n, bool)
+    hundred[12:16] = True
+    published = np.exp(level) * true * np.where(hundred, 100, 1)
+    y = np.log(published / kg)
+    state = viterbi(y, np.full(n, level.mean()), np.zeros(n, bool), np.zeros(n, int), model, silent, kg)
+    unit = np.where(state // 2 > 0, np.array([0, *model.units])[state // 2], kg)
+    assert unit.tolist() == true.tolist() and (state % 2 == 1).tolist() == hundred.tolist()
+    # Where the text speaks, it holds, however odd the values are.
+    spoken = viterbi(y, np.full(n, level.mean()), np.zeros(n, bool), np.zeros(n, int), model, np.zeros(n, bool), kg)
+    assert set(spoken) <= {0, 1}
