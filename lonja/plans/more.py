@@ -6,15 +6,16 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.calendar import period
-from lonja.functions.questions import date_range, kinds_asked, mentions, numbers
+from lonja.functions.questions import numbers
 from lonja.functions.text import slug, tokens
-from lonja.operators import retrieval, windows
+from lonja.operators import windows
 from lonja.operators.index import closed, hashed
 from lonja.operators.models import compared, forecasted
 from lonja.operators.series import SERIES
 from lonja.plans.general import KEY
 from lonja.plans.reference import _MAE, METHODS, PX, W, _asked, _walk_sql, px
-from lonja.session import table, written
+from lonja.service import hybrid
+from lonja.session import table
 
 QUERIES = {}
 SQL = {}
@@ -247,32 +248,12 @@ def _(spark, d):
     return rows.select("doc_id", F.when(F.coalesce(old, F.lit(False)), "historico").otherwise("reciente").alias("parte"))
 
 
-def _hybrid(docs, names, asked, last):
-    """pregunta, doc_id, rango, via: both searches within what each question (pregunta, texto) asks for, fused, and the floor.
-
-    names: slug, nombre of the products; last: one row with the last date of the data, ultima.
-    """
-    named = mentions(asked, names, "pregunta", "texto", "slug", "nombre").groupBy("pregunta").agg(F.array_sort(F.collect_set("slug")).alias("productos"))
-    when = asked.crossJoin(F.broadcast(last)).withColumn("_r", date_range("texto", "ultima"))
-    read = when.join(named, "pregunta", "left").select("pregunta", "texto", "productos", F.col("productos").alias("slugs"), kinds_asked("texto").alias("tipos"), "_r.desde", "_r.hasta")
-    read = written(retrieval.relaxed(read, docs, "pregunta"), "questions")
-    text = docs.select("doc_id", *retrieval.TEXT)
-    within = lambda hits: hits.join(read.select("pregunta", *retrieval.FILTER), "pregunta").join(text, "doc_id").where(retrieval.accepts()).select(*hits.columns)
-    lexical = retrieval.bm25(docs.select("doc_id", "text"), read, "doc_id", "text", "pregunta", "texto", 40, allowed=within)
-    vectors = hashed(docs, "doc_id", "text").join(text, "doc_id")
-    wanted = hashed(read, "pregunta", "texto").withColumnRenamed("v", "w").join(read.select("pregunta", *retrieval.FILTER), "pregunta")
-    dense = retrieval.nearest(vectors, wanted, "doc_id", "v", "pregunta", "w", 40, filtered=True)
-    base = retrieval.floor(read, docs, "pregunta", "doc_id").withColumn("via", F.lit("piso"))
-    top = retrieval.fused([lexical, dense], "pregunta", "doc_id", k=8).join(base.select("pregunta", "doc_id"), ["pregunta", "doc_id"], "left_anti")
-    return base.unionByName(top.select("pregunta", "doc_id", "rango", F.lit("busqueda").alias("via")))
-
-
 @query("r13_hybrid")
 def _(spark, d):
     """The query set against the texts: read for products, kinds and dates, searched within them by words and hashed embeddings, with the floor."""
     docs = table(spark, d, "documents")
     names = table(spark, d, "productos").select(slug("nombre_canonico").alias("slug"), F.col("nombre_canonico").alias("nombre")).where("slug IS NOT NULL").dropDuplicates(["slug"])
-    return _hybrid(docs, names, _asked(docs), table(spark, d, "precios_diarios").agg(F.max("fecha").alias("ultima")))
+    return hybrid(docs, names, _asked(docs), table(spark, d, "precios_diarios").agg(F.max("fecha").alias("ultima")))
 
 
 @query("n13_grounded_numbers")

@@ -8,12 +8,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lonja.functions.questions import date_range, kinds_asked, mentions
 from lonja.functions.text import normalised, slug
-from lonja.operators import windows
+from lonja.operators import retrieval, windows
+from lonja.operators.index import hashed
 from lonja.operators.models import forecasted
 from lonja.operators.series import SERIES
 from lonja.plans.reference import VALUES, px
-from lonja.session import table
+from lonja.session import table, written
 
 
 class Ambiguous(ValueError):
@@ -32,6 +34,30 @@ def span(desde: str | None, hasta: str | None) -> tuple[date | None, date | None
     return a, b
 
 
+def parsed(asked: DataFrame, names: DataFrame, last: DataFrame) -> DataFrame:
+    """Questions (pregunta, texto) read: productos and slugs (those named, null for none), tipos, desde, hasta.
+
+    names: slug, nombre of the products; last: one row with the last date of the data, ultima.
+    """
+    named = mentions(asked, names, "pregunta", "texto", "slug", "nombre").groupBy("pregunta").agg(F.array_sort(F.collect_set("slug")).alias("productos"))
+    when = asked.crossJoin(F.broadcast(last)).withColumn("_r", date_range("texto", "ultima"))
+    return when.join(named, "pregunta", "left").select("pregunta", "texto", "productos", F.col("productos").alias("slugs"), kinds_asked("texto").alias("tipos"), "_r.desde", "_r.hasta")
+
+
+def hybrid(docs: DataFrame, names: DataFrame, asked: DataFrame, last: DataFrame, k: int = 8) -> DataFrame:
+    """pregunta, doc_id, rango, via: both searches within what each question (pregunta, texto) asks for, fused, and the floor."""
+    read = written(retrieval.relaxed(parsed(asked, names, last), docs, "pregunta"), "questions")
+    text = docs.select("doc_id", *retrieval.TEXT)
+    within = lambda hits: hits.join(read.select("pregunta", *retrieval.FILTER), "pregunta").join(text, "doc_id").where(retrieval.accepts()).select(*hits.columns)
+    lexical = retrieval.bm25(docs.select("doc_id", "text"), read, "doc_id", "text", "pregunta", "texto", 40, allowed=within)
+    vectors = hashed(docs, "doc_id", "text").join(text, "doc_id")
+    wanted = hashed(read, "pregunta", "texto").withColumnRenamed("v", "w").join(read.select("pregunta", *retrieval.FILTER), "pregunta")
+    dense = retrieval.nearest(vectors, wanted, "doc_id", "v", "pregunta", "w", 40, filtered=True)
+    base = retrieval.floor(read, docs, "pregunta", "doc_id").withColumn("via", F.lit("piso"))
+    top = retrieval.fused([lexical, dense], "pregunta", "doc_id", k=k).join(base.select("pregunta", "doc_id"), ["pregunta", "doc_id"], "left_anti")
+    return base.unionByName(top.select("pregunta", "doc_id", "rango", F.lit("busqueda").alias("via")))
+
+
 @dataclass(frozen=True)
 class Service:
     spark: SparkSession
@@ -77,6 +103,18 @@ class Service:
         rows = rows.where(F.col("fecha") <= b) if b else rows
         return rows.select("fecha", "p", "m", "tendencia").orderBy("fecha")
 
+    @staticmethod
+    def summarised(rows: DataFrame) -> DataFrame:
+        """n, minimo, maximo, media, desde, hasta, primero, ultimo of the rows with a price; no row without any."""
+        out = rows.where("p IS NOT NULL").agg(
+            F.count("*").alias("n"), F.min("p").alias("minimo"), F.max("p").alias("maximo"), F.try_divide(F.sum("p").cast("double"), F.count("*")).alias("media"),
+            F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"), F.min_by("p", "fecha").alias("primero"), F.max_by("p", "fecha").alias("ultimo"),
+        )
+        return out.where("n > 0")
+
+    def summary(self, name: str, desde: str | None = None, hasta: str | None = None) -> DataFrame:
+        return self.summarised(self.series(name, desde, hasta))
+
     def compare(self, names: list[str], last: int = 30) -> DataFrame:
         """Of each product over its last observations: last, least, greatest and mean price, and the change over them; no price last."""
         ids = [self.product(n) for n in names]
@@ -97,9 +135,12 @@ class Service:
         return rows.orderBy(F.desc(F.abs("z")), "producto_id", "tipo").limit(max(1, limit))
 
     def forecast(self, name: str, ahead: int = 1) -> DataFrame:
-        """The forecast of the model that did best on the product so far, with its mean error and that of the plain one."""
+        """The forecast of the model that did best on the product so far, with its mean error, that of the
+        plain one, whether it beats it, and what must be said with it."""
         rows = self.prices().where(F.col("producto_id") == self.product(name))
-        return forecasted(rows, "p", "m", ahead).withColumn("mejora", F.col("mae") < F.col("mae_base"))
+        made = forecasted(rows, "p", "m", ahead).withColumn("mejora", F.coalesce(F.col("mae") < F.col("mae_base"), F.lit(False)))
+        better = F.when(F.col("mejora"), "Estimación, no un precio publicado; su error medio es menor que el del método simple.").otherwise("Estimación, no un precio publicado; el método simple no yerra más.")
+        return made.withColumn("aviso", better)
 
     def markets(self) -> DataFrame:
         """The products of every other market on its own last day."""
@@ -107,6 +148,25 @@ class Service:
         others = table(self.spark, self.folder, "mercados").where(F.col("codigo") != self.market).select(F.col("id").alias("mercado_id"), "codigo")
         return rows.join(others, "mercado_id")
 
+    def verification(self) -> DataFrame:
+        """The other markets' prices of the main market's last day with a price, beside the main market's own."""
+        rows = px(self.spark, self.folder).where("p IS NOT NULL").join(table(self.spark, self.folder, "mercados").select(F.col("id").alias("mercado_id"), "codigo"), "mercado_id")
+        main = rows.where(F.col("codigo") == self.market)
+        last = main.agg(F.max("fecha").alias("fecha"))  # one date
+        own = main.join(F.broadcast(last), "fecha").select("producto_id", F.col("p").alias("g"))
+        others = rows.where(F.col("codigo") != self.market).join(F.broadcast(last), "fecha").join(own, "producto_id", "left")
+        apart = F.abs(F.try_divide((F.col("p") - F.col("g")).cast("double"), F.col("g").cast("double")))
+        return others.select("mercado_id", "producto_id", "fecha", "p", "g", (apart <= 0.15).alias("coincide"))
+
+    def retrieve(self, question: str, k: int = 8) -> DataFrame:
+        """doc_id, rango, via, texto: what an answer to the question rests on, and the k texts that fit it best."""
+        docs = table(self.spark, self.folder, "documents")
+        names = self.products().where("slug IS NOT NULL").select("slug", "nombre").dropDuplicates(["slug"])
+        asked = self.spark.createDataFrame([(0, question)], "pregunta int, texto string")
+        last = table(self.spark, self.folder, "precios_diarios").agg(F.max("fecha").alias("ultima"))
+        found = hybrid(docs, names, asked, last, k)
+        return found.join(docs.select("doc_id", F.col("text").alias("texto")), "doc_id").select("doc_id", "rango", "via", "texto")
+
     def day(self) -> DataFrame:
         """The three products that rose and fell most on the last day, and the day's mass."""
         rows = self.prices().withColumn("cambio", windows.change("p"))

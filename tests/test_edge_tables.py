@@ -7,7 +7,7 @@ from oracle import DATA, rows_of
 QUERIES = everything.QUERIES
 P = sorted(general.QUERIES)
 #: Queries over given cases, besides or in place of the tables.
-CASES = {"c02_masses", "s12_tables", "s34_state", "k10_keywords", "c05_figures", "f27_statements", "f34_signatures"}
+CASES = {"c02_masses", "s12_tables", "s34_state", "k10_keywords", "r10_parsed", "r01_corpus", "c05_figures", "f27_statements", "f34_signatures"}
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from lonja.plans.more import _hybrid
+from lonja.service import hybrid
 
 D = dt.date
 
@@ -24,7 +24,7 @@ def test_questions_are_read(spark):
     questions = spark.createDataFrame(list(enumerate(asked)), "pregunta int, texto string")
     last = spark.createDataFrame([(D(2024, 6, 30),)], "ultima date")
     got = {}
-    for r in sorted(_hybrid(texts, names, questions, last).collect(), key=lambda r: r.rango):
+    for r in sorted(hybrid(texts, names, questions, last).collect(), key=lambda r: r.rango):
         got.setdefault((r.pregunta, r.via), []).append(docs[r.doc_id])
     found = lambda q, via: [(x[2], x[3], x[5].month) for x in got.get((q, via), [])]
     # Dates: the period within them comes first, and nothing else is searched.
