@@ -14,7 +14,7 @@ from lonja.operators.series import SERIES, Block, has_value, holding_rows, map_s
 from lonja.operators.spikes import implausible
 from lonja.operators.units import ScaleModel, converted, known_units, reference_levels, with_unit
 from lonja.operators.usable import MASS, PRICE
-from lonja.session import table
+from lonja.session import table, written
 
 KEY = (*SERIES, "fecha")
 
@@ -54,9 +54,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holding rows with the published unit in kilograms and the product's reference level."""
-    rows = with_unit(table(spark, sf_dir, "precios_diarios"), table(spark, sf_dir, "unidades"), table(spark, sf_dir, "productos"))
-    held = holding_rows(rows, KEY, "cargado_en", ["precio_hoy_unit", "precio_hoy_kg", "_kg", "_hundredths", "_silent"])
-    levels = reference_levels(rows)
+    held = holding(spark, sf_dir, "precio_hoy_unit", "precio_hoy_kg", "unidad")
+    held = written(with_unit(held, table(spark, sf_dir, "unidades"), table(spark, sf_dir, "productos")).drop("unidad"), "units")
+    levels = reference_levels(held)
     held = held.join(levels, held["producto_id"].eqNullSafe(levels["_anchor_of"]), "left").drop("_anchor_of")
     return held.withColumn("_hundredths", F.coalesce("_hundredths", F.lit(False)))
 
