@@ -58,7 +58,8 @@ def regular(df: DataFrame, value: str, keys: Sequence[str] = SERIES, source: str
 
     kind "counter": value is a cumulative count with resets; a day gets its share of the increment
     between the readings around it. kind "level": value holds for the days since the reading
-    before, so the running total of value x days is the counter, and a day's increment is the level.
+    before, so the running total of value x days is the counter, and a day's increment is the level: a day
+    without a reading gets that of the next one (back-fill), which speaks for the days it had to cover.
     Days before the first reading get none for a level but that of its own day, nor do days after
     the last one; days in an interval of over `longest` days stay null, marked as all days without
     reading are. Null and NaN are no reading. Rows with a null key or date are on no calendar and

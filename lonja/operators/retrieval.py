@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.text import normalised, tokens
+from lonja.session import written
 
 K1, B = 1.5, 0.75
 
@@ -21,33 +22,94 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "largo", F.explode("_t").alias("token")).groupBy("token", key, "largo").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10, allowed: Callable[[DataFrame], DataFrame] | None = None, block: int = 512) -> DataFrame:
     """query, key, bm25, rango: the k texts that best match each question.
 
     Okapi weights with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over distinct tokens of a question.
-    Ranked by score in steps of 1e-9, then key. Only tokens of questions are joined, and each task
-    keeps the best k of its texts for each question before the shuffle. allowed keeps those of the
-    rows (query, key) that may be found; N, df and the mean length stay those of all texts.
+    Ranked by score in steps of 1e-9, then key. allowed keeps those of the rows (query, key) that may be
+    found; N, df and the mean length stay those of all texts. Rows with a null key are left out.
+
+    Texts are split into tokens once. What a text keeps of itself is how often each token of any question
+    stands in it. Questions with the same tokens are asked once, and in blocks against all texts: a task
+    holds the lists of its texts by token, adds up a block's scores over them, and only the best k for
+    each question leave it, so no row stands for a text and a question that it merely shares a word with.
+    Under `allowed`, which may leave any of them, all that share a word do.
     """
-    post = postings(docs, key, text)
-    size = docs.agg(F.count("*").alias("_docs"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("_mean"))
-    asked = queries.select(query, F.explode(F.array_distinct(tokens(question))).alias("token"))
-    frequency = post.groupBy("token").agg(F.count("*").alias("_df"))
-    # Document frequencies are needed for the questions' tokens alone.
-    weights = frequency.join(asked.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(size))
+    kind, asking = dict(docs.dtypes)[key], dict(queries.dtypes)[query]
+    split = written(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_d"), tokens(text).alias("_t")), "tokens")
+    size = split.agg(F.count("*").alias("_docs"), F.sum(F.greatest(F.size("_t"), F.lit(0))).alias("_n"))
+    asked = written(queries.select(F.col(query).alias("_q"), F.array_sort(F.array_distinct(tokens(question))).alias("_w")).where(F.size("_w") > 0), "asked")
+    vocabulary = asked.select(F.explode("_w").alias("token")).distinct()
+    frequency = split.select(F.explode(F.array_distinct("_t")).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.ln(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = weights.select("token", idf.alias("_idf"), "_mean")
-    hits = post.join(weights, "token")
-    norm = 1 - B + B * F.col("largo") / F.col("_mean")
-    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    # Scores are added as whole numbers of 1e-9, so that their order does not matter.
-    scored = hits.select("token", key, F.floor(part * 1e9 + 0.5).cast("bigint").alias("_s")).join(asked, "token")
-    total = scored.groupBy(query, key).agg(F.sum("_s").alias("_s"))
+    weights = frequency.crossJoin(F.broadcast(size)).select("token", idf.alias("_idf"), (F.col("_n") / F.col("_docs")).alias("_mean"))
+    # The stated questions in blocks, each with its tokens and their weights.
+    once = asked.groupBy("_w").agg(F.min(F.struct("_q")).alias("_one")).select("_w", F.xxhash64("_w").alias("_h"), F.xxhash64(F.lit(1), "_w").alias("_g"))
+    count = max(1, -(-once.count() // block))
+    terms = once.select("_h", "_g", F.explode("_w").alias("token")).join(weights, "token")
+    blocks = terms.groupBy(F.pmod("_h", F.lit(count)).alias("_b")).agg(F.collect_list(F.struct("_h", "_g", "token", "_idf", "_mean")).alias("_x"))
+    blocks = blocks.select(*[F.col(f"_x.{c}").alias(c) for c in ("_h", "_g", "token", "_idf", "_mean")])
+
+    most = None if allowed else k
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                yield _best({c: b.column(c)[r].values for c in b.schema.names}, key, most)
+
+    # Blocks of texts of some thousand texts and some hundred thousand tokens.
+    whole = size.first()
+    packed = F.pmod(F.xxhash64("_d"), F.lit(max(1, -(-whole._docs // 4096), -(-(whole._n or 0) // 500_000))))
+    held = split.where(F.size("_t") > 0).groupBy(packed.alias("_p")).agg(F.collect_list(F.struct("_d", "_t")).alias("_x")).select(F.col("_x._d").alias("_d"), F.col("_x._t").alias("_t"))
+    found = held.repartition(F.xxhash64("_d")).crossJoin(blocks).mapInArrow(score, f"_h bigint, _g bigint, {key} {kind}, _s bigint")
+    asks = asked.select("_q", F.xxhash64("_w").alias("_h"), F.xxhash64(F.lit(1), "_w").alias("_g"))
+    total = found.join(asks, ["_h", "_g"]).select(F.col("_q").cast(asking).alias(query), key, "_s")
     total = allowed(total) if allowed else total
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_s"), key))
     return total.withColumn("rango", rank).where(F.col("rango") <= k).select(query, key, (F.col("_s") / 1e9).alias("bm25"), "rango")
 
 
+def _best(column: dict[str, pa.Array], key: str, k: int | None) -> pa.RecordBatch:
+    """_h, _g, key, _s of the k best texts (all, if None) of a block for each question of a block."""
+    token, idf = column["token"], column["_idf"].to_numpy()
+    asked = np.stack([column["_h"].to_numpy(), column["_g"].to_numpy()])
+    ids, of = np.unique(asked, axis=1, return_inverse=True)
+    words, word = np.unique(token.to_numpy(zero_copy_only=False), return_inverse=True)
+    keys, lists = column["_d"], column["_t"]
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.index_in(lists.flatten(), value_set=pa.array(words)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(keys)), size)[flat >= 0]
+    # How often each word stands in each text, by word.
+    hit, tf = np.unique(flat[flat >= 0] * len(keys) + doc, return_counts=True)
+    hit_word, hit_doc = np.divmod(hit, len(keys))
+    first = np.searchsorted(hit_word, np.arange(len(words) + 1))
+    weight = np.zeros(len(words))
+    weight[word] = idf
+    mean = column["_mean"][0].as_py()
+    norm = 1 - B + B * size / mean
+    part = weight[hit_word] * tf * (K1 + 1) / (tf + K1 * norm[hit_doc])
+    points = np.floor(part * 1e9 + 0.5).astype(np.int64)
+    order = keys.to_numpy(zero_copy_only=False)
+    by_question = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[by_question], np.arange(ids.shape[1] + 1))
+    took, scores, question = [], [], []
+    for q in range(ids.shape[1]):
+        sums = np.zeros(len(keys), np.int64)
+        for w in word[by_question[edges[q] : edges[q + 1]]]:
+            at = slice(first[w], first[w + 1])
+            sums[hit_doc[at]] += points[at]  # a text stands once in the list of a word
+        at = np.flatnonzero(sums)
+        if k is not None and len(at) > k:
+            cut = np.partition(sums[at], len(at) - k)[len(at) - k]
+            at = at[sums[at] >= cut]
+            at = at[np.lexsort((order[at], -sums[at]))[:k]]
+        took.append(at)
+        scores.append(sums[at])
+        question.append(np.full(len(at), q))
+    at, q = np.concatenate(took), np.concatenate(question)
+    return pa.RecordBatch.from_arrays([pa.array(ids[0][q]), pa.array(ids[1][q]), keys.take(pa.array(at)), pa.array(np.concatenate(scores))], names=["_h", "_g", key, "_s"])
+
+
 #: Columns of a filter, each null where it asks for nothing, and those of a text that it is put to.
 FILTER = ("slugs", "tipos", "desde", "hasta")
 TEXT = ("slug", "tipo", "fecha_inicio", "fecha_fin")

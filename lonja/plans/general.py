@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.operators.drift import drift, unify
@@ -127,10 +127,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price of each series on each day of its market, with the days lacking one filled and marked."""
-    return regular(holding(spark, sf_dir, "precio_hoy_kg"), "precio_hoy_kg")
+    grid = regular(holding(spark, sf_dir, "precio_hoy_kg"), "precio_hoy_kg")
+    return grid.withColumn("precio_hoy_kg", F.round("precio_hoy_kg", 6))  # sums and differences of the counter leave traces
+
+
+def p6_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter of each user's value in cents, read on the days of its events and set to 0 every Monday, on all days."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL")
+    daily = e.groupBy("user_id", F.to_date("ts").alias("fecha")).agg(F.sum(F.floor(F.col("value") * 100 + 0.5).cast("bigint")).alias("v"))
+    week = Window.partitionBy("user_id", F.trunc("fecha", "week")).orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0)
+    read = daily.select("user_id", "fecha", F.sum("v").over(week).alias("cuenta"), F.lit(1).alias("origen"))
+    grid = regular(read, "cuenta", keys=["user_id"], source="origen", kind="counter")
+    return grid.select("user_id", day(), F.round("cuenta", 6).alias("aumento"), "sin_lectura")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the grid without a reading of their own."""
     return p6_grid(spark, sf_dir).where("sin_lectura").select(*SERIES, day())
 
 
@@ -148,7 +160,7 @@ def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(reports, drift(reports))
 
 
-QUERIES = {"p7_found": p7_found, "p7_unified": p7_unified, "p6_grid": p6_grid, "p6_found": p6_found, "p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
+QUERIES = {"p7_found": p7_found, "p7_unified": p7_unified, "p6_grid": p6_grid, "p6_counter": p6_counter, "p6_found": p6_found, "p2_converted": p2_converted, "p2_found": p2_found, "p4_found": p4_found, "p1_filled": p1_filled, "p1_found": p1_found, "p3_rolling": p3_rolling, "p3_found": p3_found}
 
 #: Holding rows, in SQL.
 H = """h AS (SELECT * FROM precios_diarios WHERE producto_id IS NOT NULL AND mercado_id IS NOT NULL AND fecha IS NOT NULL
@@ -165,6 +177,14 @@ _SUMS = ", ".join(f"coalesce(sum(round_even(m * 1e6, 0)) OVER w{w}, 0) / 1e6 AS
 _GRID = _GRID.replace("{sums}", _SUMS)
 
 SQL = {
+    "p6_grid": f"""WITH {H}, lim AS (SELECT producto_id, mercado_id, min(fecha) AS f0, max(fecha) AS f1, min(fecha) FILTER (precio_hoy_kg IS NOT NULL AND NOT isnan(precio_hoy_kg)) AS r0 FROM h GROUP BY ALL), d AS (SELECT DISTINCT mercado_id, fecha FROM h),
+ v AS (SELECT lim.producto_id, lim.mercado_id, d.fecha, r0, CASE WHEN isnan(h.precio_hoy_kg) THEN NULL ELSE h.precio_hoy_kg END AS p FROM lim JOIN d ON d.mercado_id = lim.mercado_id AND d.fecha BETWEEN f0 AND f1 LEFT JOIN h ON h.producto_id = lim.producto_id AND h.mercado_id = lim.mercado_id AND h.fecha = d.fecha)
+ SELECT producto_id, mercado_id, fecha, CASE WHEN fecha >= r0 THEN round(first_value(p IGNORE NULLS) OVER (PARTITION BY producto_id, mercado_id ORDER BY fecha ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) END AS precio_hoy_kg, p IS NULL AS sin_lectura FROM v""",
+    "p6_counter": """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS fecha, sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+ c AS (SELECT user_id, fecha, sum(v) OVER (PARTITION BY user_id, date_trunc('week', fecha) ORDER BY fecha) AS c FROM e), s AS (SELECT user_id, fecha, c, lag(c) OVER w AS c0, lag(fecha) OVER w AS f0 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY fecha)),
+ d AS (SELECT DISTINCT fecha FROM c), lim AS (SELECT user_id, min(fecha) AS a, max(fecha) AS z FROM c GROUP BY user_id)
+ SELECT lim.user_id, strftime(d.fecha, '%Y-%m-%d') AS fecha, round(CAST(CASE WHEN s.c < s.c0 THEN s.c ELSE s.c - s.c0 END AS DOUBLE) / CAST(s.fecha - s.f0 AS DOUBLE), 6) AS aumento, c.c IS NULL AS sin_lectura
+ FROM lim JOIN d ON d.fecha BETWEEN a AND z LEFT JOIN s ON s.user_id = lim.user_id AND d.fecha > s.f0 AND d.fecha <= s.fecha LEFT JOIN c ON c.user_id = lim.user_id AND c.fecha = d.fecha""",
     "p6_found": f"""WITH {H}, lim AS (SELECT producto_id, mercado_id, min(fecha) AS f0, max(fecha) AS f1 FROM h GROUP BY ALL), d AS (SELECT DISTINCT mercado_id, fecha FROM h)
  SELECT lim.producto_id, lim.mercado_id, strftime(d.fecha, '%Y-%m-%d') AS fecha FROM lim JOIN d ON d.mercado_id = lim.mercado_id AND d.fecha BETWEEN f0 AND f1
  LEFT JOIN h ON h.producto_id = lim.producto_id AND h.mercado_id = lim.mercado_id AND h.fecha = d.fecha WHERE h.precio_hoy_kg IS NULL OR isnan(h.precio_hoy_kg)""",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import vectors as vec
-from lonja.functions.calendar import MONTHS, WEEKDAYS, holidays, long_date, long_date_of, period
+from lonja.functions.calendar import FIXED, MONTHS, WEEKDAYS, holidays, long_date, long_date_of, period
 from lonja.functions.questions import date_range, mentions, numbers
 from lonja.functions.text import normalised, slug, tokens
 from lonja.operators import joins, retrieval, windows
@@ -150,18 +150,24 @@ def _(spark, d):
     return table(spark, d, "precios_diarios").select("fecha").distinct().select("fecha", *[period("fecha", g).alias(g) for g in ("dia", "semana", "mes")])
 
 
-_OFF = "[" + ", ".join(f"DATE '{x}'" for x in holidays(2023, 2027)) + "]"
+#: The holidays of the years of the data, by another rule for Easter than the calendar's.
+_OFF = """k AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT unnest(range(CAST((SELECT min(year(fecha)) FROM f) AS BIGINT), CAST((SELECT max(year(fecha)) FROM f) AS BIGINT) + 1)) AS y)),
+ k2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM k), k3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM k2), k4 AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM k3),
+ p AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS d FROM k4), o AS (SELECT list(d) AS o FROM (SELECT d - 3 AS d FROM p UNION ALL SELECT d - 2 FROM p UNION ALL SELECT make_date(y, m, t) FROM k, (VALUES """ + ", ".join(f"({m}, {t})" for m, t in FIXED) + """) v(m, t)))"""
 
 
 @query(
     "f14_business_days",
-    f"""WITH f AS (SELECT DISTINCT fecha FROM precios_diarios WHERE fecha IS NOT NULL), u AS (SELECT max(fecha) AS hoy FROM f)
- SELECT fecha, list_contains({_OFF}, fecha) AS feriado, len(list_filter(range(1, CAST(hoy - fecha AS BIGINT) + 1), lambda i: isodow(fecha + CAST(i AS INTEGER)) < 6 AND NOT list_contains({_OFF}, fecha + CAST(i AS INTEGER)))) AS habiles FROM f, u""",
+    f"""WITH f AS (SELECT DISTINCT fecha FROM precios_diarios WHERE fecha IS NOT NULL), u AS (SELECT max(fecha) AS hoy FROM f), {_OFF}
+ SELECT fecha, list_contains(o, fecha) AS feriado, len(list_filter(range(1, CAST(hoy - fecha AS BIGINT) + 1), lambda i: isodow(fecha + CAST(i AS INTEGER)) < 6 AND NOT list_contains(o, fecha + CAST(i AS INTEGER)))) AS habiles FROM f, u, o""",
 )
 def _(spark, d):
-    off = F.array(*[F.lit(x) for x in holidays(2023, 2027)])
     days = table(spark, d, "precios_diarios").where("fecha IS NOT NULL").select("fecha").distinct()
-    rows = days.crossJoin(F.broadcast(days.agg(F.max("fecha").alias("hoy"))))  # one row
+    ends = days.agg(F.min("fecha").alias("a"), F.max("fecha").alias("hoy"))  # one row
+    span = ends.first()
+    known = holidays(span.a.year, span.hoy.year) if span.a else []  # of every year of the data
+    off = F.array(*[F.lit(x) for x in known]).cast("array<date>")
+    rows = days.crossJoin(F.broadcast(ends.select("hoy")))
     later = F.when(F.col("fecha") < F.col("hoy"), F.sequence(F.date_add("fecha", 1), F.col("hoy"))).otherwise(F.array().cast("array<date>"))
     open_days = F.filter(later, lambda x: (F.weekday(x) < 5) & ~F.array_contains(off, x))
     return rows.select("fecha", F.array_contains(off, F.col("fecha")).alias("feriado"), F.size(open_days).cast("bigint").alias("habiles"))
