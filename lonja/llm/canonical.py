@@ -7,6 +7,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence, Set
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -532,6 +533,12 @@ def plurals(name: str) -> set[str]:
     return out
 
 
+@lru_cache(maxsize=2)
+def built(entries: tuple[tuple[int, str], ...], aliases: tuple[tuple[str, tuple[str, ...]], ...], memory: int) -> Reference:
+    """The reference of a list, once for each process that searches it, however many tasks it runs."""
+    return Reference(entries, dict(aliases), memory=memory)
+
+
 #: Longest name, in characters, that is searched apart from its rows; longer ones are searched where they lie.
 LONGEST = 256
 
@@ -568,16 +575,18 @@ def map_names(
     if len(listed) > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
     about = {r[0]: r[2:] for r in listed}
-    names = [(r[0], r[1]) for r in listed]
+    names = tuple((r[0], r[1]) for r in listed)
+    ways = tuple((k, tuple(v)) for k, v in (aliases or {}).items())
     near = StructType([StructField("entrada", kind), StructField("distancia", IntegerType()), *(StructField(f.name, f.dataType) for f in rows.schema.fields[2:])])
     found = [StructField("_near", ArrayType(near)), StructField("dentro", ArrayType(StructType(near.fields[:2])))]
     arrow = to_arrow_schema(StructType(found))
 
     def search(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ref = Reference(names, aliases or {}, memory=memory)
             for b in batches:
-                got = ref.search(b.column(column).to_pylist())
+                if not b.num_rows:
+                    continue
+                got = built(names, ways, memory).search(b.column(column).to_pylist())
                 nearest = [[{"entrada": m.entry, "distancia": m.distance, **dict(zip(told, about[m.entry]))} for m in x] for x, _ in got]
                 inside = [[{"entrada": m.entry, "distancia": m.distance} for m in x] for _, x in got]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest, arrow.field(0).type), pa.array(inside, arrow.field(1).type)], names=[*b.schema.names, *arrow.names])
