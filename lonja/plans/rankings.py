@@ -440,3 +440,11 @@ def _(spark, d):
     rows = asked.join(size, "label").join(got, "pregunta", "left")
     first = F.floor(F.coalesce(1 / F.col("r"), F.lit(0.0)) * 1e6 + 0.5).cast("bigint")
     return rows.groupBy("label").agg(F.count("*").alias("casos"), F.count_if(F.coalesce("h", F.lit(0)) == F.col("n")).alias("completos"), F.sum(F.coalesce("h", F.lit(0))).alias("aciertos"), F.sum(first).alias("mrr"), F.count_if(F.col("h").isNull()).alias("fallos"))
+
+
+# -- SQL of queries that stand elsewhere ---------------------------------------------------------
+
+SQL["r09_mentions"] = SQL["r09_named_products"]
+SQL["w06_anomalies"] = f"WITH {PX}, {_BOTH} SELECT producto_id, mercado_id, tipo, fecha, valor, z FROM a WHERE abs(z) >= 3.5"
+SQL["w08_featured_anomalies"] = f"""WITH {PX}, {_BOTH}, k AS (SELECT producto_id, mercado_id, tipo, fecha, valor, z, row_number() OVER (PARTITION BY producto_id, mercado_id, tipo ORDER BY floor(abs(z) * 1e6 + 0.5) DESC, fecha) AS rango FROM a WHERE abs(z) >= 3.5)
+ SELECT k.* FROM k JOIN (SELECT mercado_id, max(fecha) AS f FROM px GROUP BY mercado_id) x ON x.mercado_id = k.mercado_id WHERE rango <= 5 OR fecha = f"""
