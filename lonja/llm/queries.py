@@ -99,4 +99,15 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_mapped": p5_mapped, "p5_found": p5_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_classes": p10_classes, "p10_shares": p10_shares}
-SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+#: Shared spans by all windows of 200 characters; quadratic in the length of a text.
+_SPANS = """t AS (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200), w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM t),
+ s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), c AS (SELECT DISTINCT doc_id, i FROM w SEMI JOIN s ON s.h = w.h),
+ o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS abre FROM c), g AS (SELECT doc_id, i, sum(abre) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+ spans AS (SELECT doc_id, min(i) AS inicio, max(i) + 200 AS fin FROM g GROUP BY doc_id, k)"""
+
+SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p10_found": f"WITH {_SPANS} SELECT * FROM spans",
+    "p10_shares": f"""WITH {_SPANS}, n AS (SELECT doc_id, CAST(sum(fin - inicio) AS BIGINT) AS n FROM spans GROUP BY doc_id)
+ SELECT doc_id, coalesce(length(text), 0) AS caracteres, coalesce(n, 0) AS compartidos, CASE WHEN length(text) > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / length(text) END AS parte FROM documents LEFT JOIN n USING (doc_id)""",
+}
