@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from lonja.operators import windows
+from lonja.plans import everything
+from oracle import assert_same
 
 D = dt.date(2024, 1, 1)
 
@@ -82,3 +84,10 @@ def test_samples_runs_and_gaps(spark):
     assert changes[1] is None and changes[2] == 1.0 and changes[5] == 1.5
     empty = df.limit(0)
     assert all(f.count() == 0 for f in (windows.latest(empty), windows.islands(empty, "p"), windows.robust_z(empty, "p"), windows.forecasts(empty, "p")))
+
+
+def test_bands_of_large_errors(spark, tmp_path):
+    """Squares of errors whose sum is beyond 64 bits."""
+    rows = [(1, 1, D + dt.timedelta(i), dt.datetime(2025, 1, 1), 190.0 if i % 9 == 0 else 1.0 + i % 4, 1.0, None) for i in range(100)]
+    spark.createDataFrame(rows, "producto_id int, mercado_id int, fecha date, cargado_en timestamp, precio_hoy_kg double, masa_hoy double, tendencia string").write.parquet(f"{tmp_path}/precios_diarios.parquet")
+    assert_same(spark, everything.QUERIES["w19_bands"], everything.SQL["w19_bands"], str(tmp_path))
