@@ -5,7 +5,8 @@ import pytest
 
 from lonja.operators import windows
 from lonja.plans import everything
-from oracle import assert_same
+from lonja.plans.reference import px
+from oracle import DATA, assert_same
 
 D = dt.date(2024, 1, 1)
 
@@ -91,3 +92,9 @@ def test_bands_of_large_errors(spark, tmp_path):
     rows = [(1, 1, D + dt.timedelta(i), dt.datetime(2025, 1, 1), 190.0 if i % 9 == 0 else 1.0 + i % 4, 1.0, None) for i in range(100)]
     spark.createDataFrame(rows, "producto_id int, mercado_id int, fecha date, cargado_en timestamp, precio_hoy_kg double, masa_hoy double, tendencia string").write.parquet(f"{tmp_path}/precios_diarios.parquet")
     assert_same(spark, everything.QUERIES["w19_bands"], everything.SQL["w19_bands"], str(tmp_path))
+
+
+def test_bands_take_every_origin(spark):
+    got = {(r.producto_id, r.mercado_id): r.origenes for r in everything.QUERIES["w19_bands"](spark, DATA).collect()}
+    made = windows.forecasts(px(spark, DATA), "p").groupBy("producto_id", "mercado_id").count().collect()
+    assert got == {(r.producto_id, r.mercado_id): r["count"] for r in made} and max(got.values()) > 60
