@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lonja.operators.boosting import best_split, boosted, features, origins, refitted
+from lonja.operators.boosting import best_split, boosted, boosted_each, features, origins, refitted
 from lonja.operators.layout import clustered, fingerprint, in_bands, joined, longest_prefix, split_letters
 
 
@@ -57,6 +57,22 @@ def test_boosting_learns_an_interaction():
         assert abs(boosted(x, y, np.array(new)) - want) < 0.1
 
 
+def test_fits_side_by_side_are_those_one_by_one():
+    rng = np.random.default_rng(2)
+    wide, few = rng.normal(size=(150, 1)), rng.integers(0, 9, (150, 1)).astype(float)
+    for x, new in ((wide, rng.normal(size=(20, 1))), (few, rng.integers(-1, 11, (20, 1)).astype(float))):
+        y = np.sin(2 * x[:, 0]) + rng.normal(size=150)
+        ends = np.arange(31, 150, 6)
+        got = boosted_each(x, y, ends, new)
+        assert np.allclose(got, [boosted(x[:e], y[:e], v) for e, v in zip(ends, new)], rtol=1e-9)
+    y = np.where(wide[:, 0] > 0, np.where(few[:, 0] > 3, 3.0, 1.0), 0.0)
+    got = boosted_each(np.hstack([wide, few]), y, np.array([150, 150, 150]), np.array([[0.9, 8], [0.9, 0], [-0.9, 8]]))
+    assert np.allclose(got, [3, 1, 0], atol=0.1)
+    # Neither a constant value nor a constant feature can be split.
+    assert np.allclose(boosted_each(wide, np.full(150, 7.0), np.array([40, 150]), new[:2]), 7)
+    assert np.allclose(boosted_each(np.ones((150, 1)), y, np.array([40, 150]), new[:2]), [y[:40].mean(), y.mean()])
+
+
 def test_features_look_back_only():
     y, day = np.arange(20.0), np.arange(19800, 19820)
     off = np.array([19805, 19850])
