@@ -68,6 +68,11 @@ def test_fits_side_by_side_are_those_one_by_one():
     y = np.where(wide[:, 0] > 0, np.where(few[:, 0] > 3, 3.0, 1.0), 0.0)
     got = boosted_each(np.hstack([wide, few]), y, np.array([150, 150, 150]), np.array([[0.9, 8], [0.9, 0], [-0.9, 8]]))
     assert np.allclose(got, [3, 1, 0], atol=0.1)
+    # Where several features set a spike apart equally well, the first of them does.
+    x = np.hstack([np.round(wide, 1), few, np.arange(150.0)[:, None]])
+    y = np.where(np.arange(150) % 40 == 7, 1e6, y)
+    new = np.hstack([rng.normal(size=(20, 1)), rng.integers(0, 9, (20, 1)), rng.integers(0, 200, (20, 1))])
+    assert np.allclose(boosted_each(x, y, ends, new), [boosted(x[:e], y[:e], v) for e, v in zip(ends, new)], rtol=1e-9)
     # Neither a constant value nor a constant feature can be split.
     assert np.allclose(boosted_each(wide, np.full(150, 7.0), np.array([40, 150]), new[:2]), 7)
     assert np.allclose(boosted_each(np.ones((150, 1)), y, np.array([40, 150]), new[:2]), [y[:40].mean(), y.mean()])
