@@ -22,7 +22,7 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "largo", F.explode("_t").alias("token")).groupBy("token", key, "largo").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10, allowed: Callable[[DataFrame], DataFrame] | None = None, block: int = 512) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, question: str, k: int = 10, allowed: Callable[[DataFrame], DataFrame] | None = None, block: int = 512, filtered: bool = False) -> DataFrame:
     """query, key, bm25, rango: the k texts that best match each question.
 
     Okapi weights with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over distinct tokens of a question.
@@ -33,36 +33,53 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, q
     stands in it. Questions with the same tokens are asked once, and in blocks against all texts: a task
     holds the lists of its texts by token, adds up a block's scores over them, and only the best k for
     each question leave it, so no row stands for a text and a question that it merely shares a word with.
-    Under `allowed`, which may leave any of them, all that share a word do.
+    Under `allowed`, which may leave any of them, all that share a word do. filtered: texts have the columns of
+    a text and questions those of a filter as in `accepts`, and only texts that a question's filter accepts
+    are found; where they lie, so that no more leaves a task than without filter, and a block of texts of one
+    slug meets only the questions that ask for it or for none.
     """
     kind, asking = dict(docs.dtypes)[key], dict(queries.dtypes)[query]
-    split = written(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_d"), tokens(text).alias("_t")), "tokens")
+    about, asks_for = (TEXT, FILTER) if filtered else ((), ())
+    split = written(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_d"), tokens(text).alias("_t"), *about), "tokens")
     size = split.agg(F.count("*").alias("_docs"), F.sum(F.greatest(F.size("_t"), F.lit(0))).alias("_n"))
-    asked = written(queries.select(F.col(query).alias("_q"), F.array_sort(F.array_distinct(tokens(question))).alias("_w")).where(F.size("_w") > 0), "asked")
+    asked = written(queries.select(F.col(query).alias("_q"), F.array_sort(F.array_distinct(tokens(question))).alias("_w"), *asks_for).where(F.size("_w") > 0), "asked")
     vocabulary = asked.select(F.explode("_w").alias("token")).distinct()
     frequency = split.select(F.explode(F.array_distinct("_t")).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.ln(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = frequency.crossJoin(F.broadcast(size)).select("token", idf.alias("_idf"), (F.col("_n") / F.col("_docs")).alias("_mean"))
     # The stated questions in blocks, each with its tokens and their weights.
-    once = asked.groupBy("_w").agg(F.min(F.struct("_q")).alias("_one")).select("_w", F.xxhash64("_w").alias("_h"), F.xxhash64(F.lit(1), "_w").alias("_g"))
+    what = ["_w", *([F.to_json(F.struct(*asks_for))] if filtered else [])]
+    named = F.xxhash64(*what).alias("_h"), F.xxhash64(F.lit(1), *what).alias("_g")
+    once = asked.groupBy("_w", *asks_for).agg(F.min(F.struct("_q")).alias("_one")).select("_w", *asks_for, *named)
     count = max(1, -(-once.count() // block))
-    terms = once.select("_h", "_g", F.explode("_w").alias("token")).join(weights, "token")
-    blocks = terms.groupBy(F.pmod("_h", F.lit(count)).alias("_b")).agg(F.collect_list(F.struct("_h", "_g", "token", "_idf", "_mean")).alias("_x"))
-    blocks = blocks.select(*[F.col(f"_x.{c}").alias(c) for c in ("_h", "_g", "token", "_idf", "_mean")])
+    terms = once.select("_h", "_g", *asks_for, F.explode("_w").alias("token")).join(weights, "token")
+    if filtered:
+        terms = _sized(once.select("_h", "_g", _asked_slug()), "_s", "_h", block).join(terms, ["_h", "_g"])
+    else:
+        terms = terms.withColumn("_b", F.pmod("_h", F.lit(count)))
+    of_slug = ["_s"] * filtered
+    blocks = terms.groupBy("_b", *of_slug).agg(F.collect_list(F.struct("_h", "_g", "token", "_idf", "_mean", *asks_for)).alias("_x"))
+    blocks = blocks.select(*of_slug, *[F.col(f"_x.{c}").alias(c) for c in ("_h", "_g", "token", "_idf", "_mean", *asks_for)])
 
     most = None if allowed else k
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                yield _best({c: b.column(c)[r].values for c in b.schema.names}, key, most)
+                yield _best({c: b.column(c)[r].values for c in b.schema.names if c not in ("_s", "_slug")}, key, most)
 
     # Blocks of texts of some thousand texts and some hundred thousand tokens.
     whole = size.first()
-    packed = F.pmod(F.xxhash64("_d"), F.lit(max(1, -(-whole._docs // 4096), -(-(whole._n or 0) // 500_000))))
-    held = split.where(F.size("_t") > 0).groupBy(packed.alias("_p")).agg(F.collect_list(F.struct("_d", "_t")).alias("_x")).select(F.col("_x._d").alias("_d"), F.col("_x._t").alias("_t"))
-    found = held.repartition(F.xxhash64("_d")).crossJoin(blocks).mapInArrow(score, f"_h bigint, _g bigint, {key} {kind}, _s bigint")
-    asks = asked.select("_q", F.xxhash64("_w").alias("_h"), F.xxhash64(F.lit(1), "_w").alias("_g"))
+    some = split.where(F.size("_t") > 0)
+    if filtered:
+        some = _sized(some.withColumn("_slug", F.col("slug")), "_slug", "_d", min(4096, max(1, 500_000 * whole._docs // max(1, whole._n or 0))))
+    else:
+        some = some.withColumn("_b", F.pmod(F.xxhash64("_d"), F.lit(max(1, -(-whole._docs // 4096), -(-(whole._n or 0) // 500_000)))))
+    in_slug = ["_slug"] * filtered
+    held = some.groupBy("_b", *in_slug).agg(F.collect_list(F.struct("_d", "_t", *about)).alias("_x")).select(*in_slug, *[F.col(f"_x.{c}").alias(c) for c in ("_d", "_t", *about)])
+    met = held.repartition(F.xxhash64("_d")).crossJoin(blocks)
+    found = (met.where("_s IS NULL OR _s = _slug") if filtered else met).mapInArrow(score, f"_h bigint, _g bigint, {key} {kind}, _s bigint")
+    asks = asked.select("_q", *named)
     total = found.join(asks, ["_h", "_g"]).select(F.col("_q").cast(asking).alias(query), key, "_s")
     total = allowed(total) if allowed else total
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_s"), key))
@@ -73,7 +90,8 @@ def _best(column: dict[str, pa.Array], key: str, k: int | None) -> pa.RecordBatc
     """_h, _g, key, _s of the k best texts (all, if None) of a block for each question of a block."""
     token, idf = column["token"], column["_idf"].to_numpy()
     asked = np.stack([column["_h"].to_numpy(), column["_g"].to_numpy()])
-    ids, of = np.unique(asked, axis=1, return_inverse=True)
+    ids, one, of = np.unique(asked, axis=1, return_index=True, return_inverse=True)
+    ok = _accepted({c: column[c].take(pa.array(one)) for c in FILTER}, {c: column[c] for c in TEXT}) if FILTER[0] in column else None
     words, word = np.unique(token.to_numpy(zero_copy_only=False), return_inverse=True)
     keys, lists = column["_d"], column["_t"]
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -98,7 +116,7 @@ def _best(column: dict[str, pa.Array], key: str, k: int | None) -> pa.RecordBatc
         for w in word[by_question[edges[q] : edges[q + 1]]]:
             at = slice(first[w], first[w + 1])
             sums[hit_doc[at]] += points[at]  # a text stands once in the list of a word
-        at = np.flatnonzero(sums)
+        at = np.flatnonzero(sums if ok is None else (sums > 0) & ok[q])
         if k is not None and len(at) > k:
             cut = np.partition(sums[at], len(at) - k)[len(at) - k]
             at = at[sums[at] >= cut]
@@ -115,6 +133,17 @@ FILTER = ("slugs", "tipos", "desde", "hasta")
 TEXT = ("slug", "tipo", "fecha_inicio", "fecha_fin")
 
 
+def _asked_slug() -> Column:
+    """Each slug of a filter, or null for a filter without."""
+    return F.explode_outer(F.array_distinct("slugs")).alias("_s")
+
+
+def _sized(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """rows with _b, their block among those of the same `by`: of about `most` rows, by hash of key."""
+    size = rows.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / F.lit(most)).alias("_blocks"))
+    return rows.join(size, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_b", F.pmod(F.xxhash64(key), "_blocks")).drop("_by", "_blocks")
+
+
 def dated() -> Column:
     """Whether a text's days overlap those of a filter; days that are not known do."""
     return (F.col("desde").isNull() | F.col("fecha_fin").isNull() | (F.col("fecha_fin") >= F.col("desde"))) & (F.col("hasta").isNull() | F.col("fecha_inicio").isNull() | (F.col("fecha_inicio") <= F.col("hasta")))
@@ -137,10 +166,10 @@ def accepted(docs: DataFrame, gold: DataFrame, on: str) -> DataFrame:
     return pairs
 
 
-def _accepted(b: pa.RecordBatch, r: int) -> np.ndarray:
-    """`accepts` of the queries and texts of a row of blocks."""
-    slugs, tipos, desde, hasta = (b.column(f"_{c}")[r].values for c in FILTER)
-    slug, tipo, first, last = (b.column(f"_{c}")[r].values for c in TEXT)
+def _accepted(filters: dict[str, pa.Array], texts: dict[str, pa.Array]) -> np.ndarray:
+    """`accepts` of queries and texts: a row for each query, a column for each text."""
+    slugs, tipos, desde, hasta = (filters[c] for c in FILTER)
+    slug, tipo, first, last = (texts[c] for c in TEXT)
     ok = np.ones((len(slugs), len(slug)), bool)
     for i in range(len(slugs)):
         for asked, held in ((slugs[i], slug), (tipos[i], tipo)):
@@ -205,18 +234,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
     vectors, each two blocks are multiplied as matrices, and only the best k of a block for each query
     leave the task. coseno is the product in steps of `step`; ties go to the smaller key. Rows with a
     null key or vector are left out; lengths must agree. filtered: vectors have the columns of a text
-    and queries those of a filter as in `accepts`, and only texts that a query's filter accepts count.
+    and queries those of a filter as in `accepts`, and only texts that a query's filter accepts count;
+    a block of texts of one slug meets only the queries that ask for it or for none.
     """
     kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
 
-    def blocks(df: DataFrame, of: str, what: str, names: tuple[str, str, str], more: tuple[str, ...]) -> DataFrame:
+    def blocks(df: DataFrame, of: str, what: str, names: tuple[str, str, str], more: tuple[str, ...], slug: Column) -> DataFrame:
         rows = df.where(F.col(what).isNotNull() & F.col(of).isNotNull()).select(F.col(of), F.col(what).cast("array<double>").alias("_v"), *more)
-        count = max(1, -(-rows.count() // block))
-        b = F.pmod(F.xxhash64(of), F.lit(count))
-        return rows.groupBy(b.alias(names[0])).agg(F.collect_list(F.struct(F.col(of).alias("i"), F.col("_v").alias("v"), *more)).alias(names[1])).select(F.col(f"{names[1]}.i").alias(names[1]), F.flatten(f"{names[1]}.v").alias(names[2]), *[F.col(f"{names[1]}.{c}").alias(f"_{c}") for c in more])
+        own = [names[0]] * filtered
+        if filtered:
+            rows = _sized(rows.select("*", slug.alias(names[0])), names[0], of, block)
+        else:
+            rows = rows.withColumn("_b", F.pmod(F.xxhash64(of), F.lit(max(1, -(-rows.count() // block)))))
+        return rows.groupBy("_b", *own).agg(F.collect_list(F.struct(F.col(of).alias("i"), F.col("_v").alias("v"), *more)).alias(names[1])).select(*own, F.col(f"{names[1]}.i").alias(names[1]), F.flatten(f"{names[1]}.v").alias(names[2]), *[F.col(f"{names[1]}.{c}").alias(f"_{c}") for c in more])
 
-    left = blocks(queries, query, asked, ("_b", "_q", "_qv"), FILTER if filtered else ())
-    right = blocks(vectors, key, vector, ("_b", "_k", "_kv"), TEXT if filtered else ())
+    left = blocks(queries, query, asked, ("_s", "_q", "_qv"), FILTER if filtered else (), _asked_slug())
+    right = blocks(vectors, key, vector, ("_of", "_k", "_kv"), TEXT if filtered else (), F.col("slug"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,13 +259,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
                 xm = b.column("_kv")[r].values.to_numpy().reshape(len(x), -1)
                 s = np.rint(qm @ xm.T / step).astype(np.int64)
                 ids = x.to_numpy()
-                ok = _accepted(b, r) if filtered else np.ones(s.shape, bool)
+                ok = _accepted(*({c: b.column(f"_{c}")[r].values for c in of} for of in (FILTER, TEXT))) if filtered else np.ones(s.shape, bool)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s, ~ok), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(q)), order.shape[1])
                 at = np.flatnonzero(np.take_along_axis(ok, order, 1).ravel())
                 yield pa.RecordBatch.from_arrays([q.take(pa.array(row[at])), x.take(pa.array(order.ravel()[at])), pa.array(np.take_along_axis(s, order, 1).ravel()[at])], names=[query, key, "_s"])
 
     pairs = left.repartition(F.xxhash64("_q")).crossJoin(right)
+    pairs = pairs.where("_s IS NULL OR _s = _of") if filtered else pairs
     best = pairs.mapInArrow(score, f"{query} {kinds[1]}, {key} {kinds[0]}, _s bigint")
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_s"), key))
     return best.withColumn("rango", rank).where(F.col("rango") <= k).select(query, key, F.col("_s").alias("coseno"), "rango")

@@ -48,8 +48,7 @@ def hybrid(docs: DataFrame, names: DataFrame, asked: DataFrame, last: DataFrame,
     """pregunta, doc_id, rango, via: both searches within what each question (pregunta, texto) asks for, fused, and the floor."""
     read = written(retrieval.relaxed(parsed(asked, names, last), docs, "pregunta"), "questions")
     text = docs.select("doc_id", *retrieval.TEXT)
-    within = lambda hits: hits.join(read.select("pregunta", *retrieval.FILTER), "pregunta").join(text, "doc_id").where(retrieval.accepts()).select(*hits.columns)
-    lexical = retrieval.bm25(docs.select("doc_id", "text"), read, "doc_id", "text", "pregunta", "texto", 40, allowed=within)
+    lexical = retrieval.bm25(docs.select("doc_id", "text", *retrieval.TEXT), read, "doc_id", "text", "pregunta", "texto", 40, filtered=True)
     vectors = hashed(docs, "doc_id", "text").join(text, "doc_id")
     wanted = hashed(read, "pregunta", "texto").withColumnRenamed("v", "w").join(read.select("pregunta", *retrieval.FILTER), "pregunta")
     dense = retrieval.nearest(vectors, wanted, "doc_id", "v", "pregunta", "w", 40, filtered=True)

@@ -1,5 +1,9 @@
 import datetime as dt
+import random
 
+import pyarrow as pa
+
+from lonja.operators import retrieval
 from lonja.service import hybrid
 
 D = dt.date
@@ -40,3 +44,23 @@ def test_questions_are_read(spark):
     assert found(4, "piso") == [(None, kinds["dia"], 3)]
     # A filter that leaves nothing is opened, and its dates are dropped from the floor.
     assert found(5, "piso")[0] == ("yuca", kinds["perfil"], 6) and len(found(5, "busqueda")) > 0
+
+
+def test_filters_hold_where_the_texts_lie(spark):
+    """The same texts as of all pairs that share a word, filtered afterwards; and no more than k of a block leave it."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    day = lambda: rng.choice([None, D(2024, rng.randint(1, 6), 10)])
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=9)), rng.choice([None, "a", "b", "c"]), rng.choice([None, "x", "y"]), day(), day()) for i in range(400)], "doc_id bigint, text string, slug string, tipo string, fecha_inicio date, fecha_fin date")
+    asked = [(i, " ".join(rng.choices(words, k=2)), rng.choice([None, ["a"], ["a", "c", "c"], ["d"]]), rng.choice([None, ["x"], ["x", "y"]]), day(), day()) for i in range(80)]
+    asked.append((80, asked[0][1], None, None, None, D(2024, 3, 1)))
+    asked.append((81, asked[0][1], None, None, D(2024, 3, 1), None))
+    queries = spark.createDataFrame(asked, "pregunta int, texto string, slugs array<string>, tipos array<string>, desde date, hasta date")
+    within = lambda hits: hits.join(queries.select("pregunta", *retrieval.FILTER), "pregunta").join(docs.drop("text"), "doc_id").where(retrieval.accepts()).select(*hits.columns)
+    plain = retrieval.bm25(docs, queries, "doc_id", "text", "pregunta", "texto", 5, allowed=within)
+    got = retrieval.bm25(docs, queries, "doc_id", "text", "pregunta", "texto", 5, filtered=True, block=16)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() > 200
+    words_of = {"_h": [1], "_g": [1], "token": ["w1"], "_idf": [1.0], "_mean": [9.0], "slugs": [["a"]], "tipos": [None], "desde": [None], "hasta": [None], "_d": list(range(90)), "_t": [["w1"]] * 90, "slug": ["a", "b", None] * 30, "tipo": ["x"] * 90, "fecha_inicio": [None] * 90, "fecha_fin": [None] * 90}
+    kinds = {"desde": pa.date32(), "hasta": pa.date32(), "fecha_inicio": pa.date32(), "fecha_fin": pa.date32(), "tipos": pa.list_(pa.string())}
+    best = retrieval._best({c: pa.array(v, kinds.get(c)) for c, v in words_of.items()}, "doc_id", 5)
+    assert best.column("doc_id").to_pylist() == [0, 3, 6, 9, 12]
