@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,12 @@ from lonja.session import ship
 from lonja.sources.store import exists
 
 
-def hashed(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """key, v: a bag of hashed tokens, of length 1 (all zero without tokens of three letters or more).
+def hashed(docs: DataFrame, key: str, text: str, dims: int = 64, more: Sequence[str] = ()) -> DataFrame:
+    """key, v, and the columns `more`: a bag of hashed tokens, of length 1 (all zero without tokens of three letters or more).
 
     Each token adds 1 or -1, by the parity of a further byte of its hash, to one of `dims` places.
     """
-    kind = dict(docs.dtypes)[key]
+    kinds = dict(docs.dtypes)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, tuple[int, int]] = {}
@@ -43,9 +43,9 @@ def hashed(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             out = out / np.where(norm > 0, norm, 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims), pa.array(out.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([b.column(key), lists], names=[key, "v"])
+            yield pa.RecordBatch.from_arrays([b.column(key), lists, *[b.column(c) for c in more]], names=[key, "v", *more])
 
-    return docs.select(key, tokens(text).alias("_t")).mapInArrow(embed, f"{key} {kind}, v array<float>")
+    return docs.select(key, tokens(text).alias("_t"), *more).mapInArrow(embed, ", ".join([f"{key} {kinds[key]}", "v array<float>", *[f"{c} {kinds[c]}" for c in more]]))
 
 
 def closed(end: str | Column, last: Column) -> Column:

@@ -47,12 +47,11 @@ def parsed(asked: DataFrame, names: DataFrame, last: DataFrame) -> DataFrame:
 def hybrid(docs: DataFrame, names: DataFrame, asked: DataFrame, last: DataFrame, k: int = 8) -> DataFrame:
     """pregunta, doc_id, rango, via: both searches within what each question (pregunta, texto) asks for, fused, and the floor."""
     read = written(retrieval.relaxed(parsed(asked, names, last), docs, "pregunta"), "questions")
-    text = docs.select("doc_id", *retrieval.TEXT)
     lexical = retrieval.bm25(docs.select("doc_id", "text", *retrieval.TEXT), read, "doc_id", "text", "pregunta", "texto", 40, filtered=True)
-    vectors = hashed(docs, "doc_id", "text").join(text, "doc_id")
-    wanted = hashed(read, "pregunta", "texto").withColumnRenamed("v", "w").join(read.select("pregunta", *retrieval.FILTER), "pregunta")
+    vectors = hashed(docs, "doc_id", "text", more=retrieval.TEXT)
+    wanted = hashed(read, "pregunta", "texto", more=retrieval.FILTER).withColumnRenamed("v", "w")
     dense = retrieval.nearest(vectors, wanted, "doc_id", "v", "pregunta", "w", 40, filtered=True)
-    base = retrieval.floor(read, docs, "pregunta", "doc_id").withColumn("via", F.lit("piso"))
+    base = written(retrieval.floor(read, docs, "pregunta", "doc_id"), "floor").withColumn("via", F.lit("piso"))
     top = retrieval.fused([lexical, dense], "pregunta", "doc_id", k=k).join(base.select("pregunta", "doc_id"), ["pregunta", "doc_id"], "left_anti")
     return base.unionByName(top.select("pregunta", "doc_id", "rango", F.lit("busqueda").alias("via")))
 
