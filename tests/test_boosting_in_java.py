@@ -46,3 +46,19 @@ def test_without_the_vector_module_numpy_fits(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(bytearray(message(x, y, ends, new)),), (None,)], "m binary")
     got = [r.a for r in df.select(answers(spark, "m").alias("a")).collect()]
     assert np.allclose(got[0], [boosted(x[:e], y[:e], v) for e, v in zip(ends, new)], rtol=1e-9) and got[1] is None
+
+
+def test_regressions_from_sums_are_those_of_the_rows():
+    rng = np.random.default_rng(5)
+    walk = 50_000 + rng.integers(-900, 900, 200).cumsum().astype(float)
+    mass = rng.integers(0, 9000, 200).astype(float)
+    late = np.where(np.arange(200) < 60, 7.0, walk)  # nothing to fit by at first
+    for y, m in ((walk, mass), (walk, None), (late, mass), (late, None), (walk, 3 * walk), (walk, np.full(200, 5.0)), (walk / 7 + 1e6, mass / 3), (np.full(200, 3.0), None)):
+        for ahead in (1, 7):
+            ts = np.arange(29, 200)
+            want = []
+            for t in ts:
+                cols = [v[: t + 1 - ahead] for v in (y, m) if v is not None]
+                w = np.linalg.lstsq(np.stack([*cols, np.ones(t + 1 - ahead)], 1), y[ahead : t + 1], rcond=None)[0]
+                want.append(np.dot(w, [*(v[t] for v in (y, m) if v is not None), 1.0]))
+            assert np.allclose(boosting.regressed(y, m, ts, ahead), want, rtol=1e-8)
