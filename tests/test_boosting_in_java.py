@@ -33,6 +33,26 @@ def test_the_jvm_fits_as_numpy_does(spark):
         assert np.allclose(got[i], want, rtol=1e-9) and np.allclose(answered(message(x, y, ends, new)), want, rtol=1e-9)
 
 
+def test_cuts_are_found_in_the_sums_as_they_run(spark):
+    rng = np.random.default_rng(6)
+    n, ends = 150, np.arange(31, 150, 6)
+    wide, few = rng.normal(size=(n, 2)), rng.integers(0, 9, (n, 2)).astype(float)
+    new = np.hstack([rng.normal(size=(20, 2)), rng.integers(-1, 11, (20, 2))])
+    y = np.sin(2 * wide[:, 0]) + rng.normal(size=n)
+    long, late = np.c_[np.arange(700.0) % 97, rng.normal(size=700)], np.array([1, 2, 15, 16, 17, 33, 699, 700])  # ends of blocks
+    made = [
+        (np.c_[few[:, 0], wide[:, 0], few[:, 1], wide[:, 1]], y, ends, new[:, [2, 0, 3, 1]]),
+        (np.c_[wide[:, 0], wide[:, 0], -wide[:, 0]], y, ends, new[:, [0, 0, 1]]),  # equal cuts
+        (np.hstack([np.round(wide, 1), few]), np.where(wide[:, 0] < 0, 1e9, 0.0) + y, ends, new),  # one node hides the other's errors
+        (few[:4, :1], np.array([1e8, -1e8, 1.0, -1.0]), np.array([2, 3, 4]), new[:3, 2:3]),
+        (long, rng.normal(size=700), late, rng.normal(size=(8, 2))),
+    ]
+    rows = [(i, bytearray(message(*c))) for i, c in enumerate(made)]
+    got = {r.i: r.a for r in spark.createDataFrame(rows, "i int, m binary").select("i", answers(spark, "m").alias("a")).collect()}
+    for i, (x, y, ends, new) in enumerate(made):
+        assert np.allclose(got[i], [boosted(x[:e], y[:e], v) for e, v in zip(ends, new)], rtol=1e-9, atol=1e-14 * abs(y).max())
+
+
 def test_trees_grow_in_the_jvm(spark):
     assert java_function(spark, "lonja_boosted", "lonja.Boosting", Path(boosting.__file__).with_name("Boosting.java"), "array<double>")
 
