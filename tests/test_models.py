@@ -48,6 +48,16 @@ def test_forecasts_of_dates_to_come(spark):
         assert abs(errors[1, "gbm"].punto - boosted(x[: len(y)][fit], y[fit], x[-1])) < 60  # these know no holidays
 
 
+def test_horizons_side_by_side_are_those_one_by_one(spark):
+    df, _ = frame(spark)
+    for f, by in ((lambda h: refitted(df, "p", "m", h, rows=60, models=("tendencia", "gbm", "ar1_volumen"), final=True), "metodo"), (lambda h: forecasted(df, "p", "m", h), "n")):
+        both = f((1, 7))
+        assert "h" in both.columns
+        got, want = both.collect(), [r.asDict() | {"h": h} for h in (1, 7) for r in f(h).collect()]
+        place = lambda r: (r["producto_id"], r["h"], r[by])
+        assert sorted((r.asDict() for r in got), key=place) == sorted(want, key=place)
+
+
 def test_families(spark):
     df, _ = frame(spark)
     for h in (1, 7):
